@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, packing, simhash
+from tidemark.llm import langid, licenses, packing, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_report(substring.find_repeats(_read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_curve_packing": op8_curve_packing,
     "op10_language_id": op10_language_id,
 }
