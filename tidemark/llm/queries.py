@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, packing, simhash, substring
+from tidemark.llm import langid, licenses, packing, simhash, substring, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(substring.find_repeats(_read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = warc.round_trip(_read(spark, sf_dir, "pages"), with_data=False).filter("is_last")
+    return last.select(F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op8_curve_packing": op8_curve_packing,
     "op10_language_id": op10_language_id,
 }
