@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, packing, simhash, substring, warc
+from tidemark.llm import html_text, langid, licenses, packing, simhash, substring, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op7_html_main_text": op7_html_main_text,
     "op8_curve_packing": op8_curve_packing,
     "op10_language_id": op10_language_id,
 }
