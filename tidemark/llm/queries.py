@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, langid, licenses, packing, simhash, substring, warc
+from tidemark.llm import html_text, langid, licenses, neighbours, packing, simhash, substring, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op9_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs)
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_round_trip": op5_warc_round_trip,
     "op7_html_main_text": op7_html_main_text,
     "op8_curve_packing": op8_curve_packing,
+    "op9_forest_neighbours": op9_forest_neighbours,
     "op10_language_id": op10_language_id,
 }
