@@ -1,6 +1,7 @@
 """What ``__spark_entry__`` adds: the queries of this subpackage, the pipeline included, and their SQL."""
 
-from tidemark.llm.queries import QUERIES
-from tidemark.llm.sql import ORACLE_SQL
+import corpus_pipeline
+from tidemark.llm import queries, sql
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE_SQL = {**sql.ORACLE_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

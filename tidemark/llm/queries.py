@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, langid, licenses, neighbours, packing, simhash, substring, warc
+from tidemark.llm import decontaminate, html_text, langid, licenses, neighbours, packing, shards, simhash, substring, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op6_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = shards.write_shards(_read(spark, sf_dir, "documents"))
+    return index.select("slot", "sequence", "shard", "byte_offset", "n_tokens", "crc32", F.array_distinct("docs").alias("doc_ids"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_training_shards": op6_training_shards,
     "op7_html_main_text": op7_html_main_text,
     "op8_curve_packing": op8_curve_packing,
     "op9_forest_neighbours": op9_forest_neighbours,

@@ -110,3 +110,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("component_size"))
     named = placed.select("fp", "root").join(components, "root").drop("root")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input's columns and, of each component, one row: that with the smallest id, null ids last.
+
+    Rows get a number of their own first, so repeated rows and null ids are told apart.
+    """
+    ws = Workspace(docs.sparkSession, "groups")
+    rows = ws.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", compression="zstd")
+    found = near_duplicates(rows, "_row", text_col, **options).select("_row", "component_id")
+    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), "_row")
+    kept = found.join(rows.select("_row", id_col), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
