@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -16,9 +17,15 @@ def ids(text):
 
 
 def test_remembered_pieces_give_the_library_s_ids():
-    encoder = Encoder(default_vocabulary(), most=3)
-    for t in TEXTS * 2:
-        assert [*encoder.encode(t or "").tolist(), 2] == ids(t)
+    signs = "".join(map(chr, range(33, 700))) + "́ßſKİΣς"
+    rnd = random.Random(8)
+    odd = [" ".join("".join(rnd.choices(signs if k % 2 else "abcde.,'AÉß12!-", k=rnd.randrange(1, 9))) for _ in range(400)) for k in range(30)]
+    odd += [c.join("abc Def") for c in map(chr, [*range(1, 33), 0x85, 0xA0, 0x2028, 0x3000, 0x301, 0xFFFD])]
+    plain = Tokenizer.from_file(default_vocabulary())
+    for most in (3, 1000, 10**6):
+        encoder = Encoder(default_vocabulary(), most=most)
+        for t in [*TEXTS, *odd] * 2:
+            assert encoder.encode(t or "").tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
 def test_round_trip_and_no_padding(spark, tmp_path):

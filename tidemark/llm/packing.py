@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, width
-from tidemark.llm.tokens import Encoder, default_vocabulary
+from tidemark.llm.tokens import batches_of, default_vocabulary, encoder
 
 _BUCKETS, _DIMS, _BITS, _SEED = 1024, 3, 16, 20_240_101
 
@@ -67,13 +67,13 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
     """``(id, key, tie, n_tokens, ids)``; ids as little-endian unsigned 16- or 32-bit values with ``end_id`` last."""
 
     def run(batches):
-        encoder, plane = Encoder(vocabulary), projection()
+        own, plane = encoder(vocabulary), projection()
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                bags = [np.concatenate([encoder.encode(x.as_py() or ""), end]) for x in part.column(1)]
-                raw = [x.astype("<u4" if encoder.wide else "<u2").tobytes() for x in bags]
+                bags = [np.concatenate([ids, end]) for texts in batches_of([x or "" for x in part.column(1).to_pylist()]) for ids in own.encode_all(texts)]
+                raw = [x.astype("<u4" if own.wide else "<u2").tobytes() for x in bags]
                 columns = [part.column(0), pa.array(hilbert_key(curve_points(bags, plane)), pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([len(x) for x in bags], pa.int64()), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "tie", "n_tokens", "ids"])
 

@@ -231,7 +231,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = marks.filter(F.size("anchors") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode(F.array_distinct("anchors")).alias("hash"))
     flagged = held.join(hit, "hash").groupBy("k1", "k2").agg(F.collect_list("hash").alias("hit")).join(copies, ["k1", "k2"])
     texts = ws.table(_first_copies(docs, text_col).join(flagged, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "copies", "hit"), "texts", compression="zstd")
-    seen = ws.table(_windows(texts, window), "windows", compression="zstd")
+    ws.drop("index")
+    seen = _windows(texts, window)  # made twice, which takes less than to keep a row for every window
     twice = seen.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).filter("n > 1").select("d1", "d2")
     starts = seen.join(twice, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))
     cut = ws.table(_kept(texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]), window), "cut", compression="zstd")

@@ -1,60 +1,178 @@
 """Token ids of whole texts with a vocabulary file of the ``tokenizers`` library.
 
 For a tokenizer that drops white space between its tokens, the ids of a text are those of its pieces between blanks,
-one after another.  Pieces repeat far more often than texts, so each task remembers theirs (a bounded table) and only
-new pieces go to the library; what it remembers never changes a result.
+one after another.  Pieces repeat far more often than texts, so each worker remembers theirs in a bounded table and
+only new ones go to the library.  A new piece of plain letters, digits and signs is first split where the tokenizer
+would split it, since its word alone has mostly been met before.  What is remembered never changes a result.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
+
+#: Pieces that the tokenizer only lowers and splits: no apostrophes (contractions), no marks that could compose.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_CORE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class _Table:
+    """Ids by piece, as slices of one growing array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        """Pieces that are new here, their ids one after another."""
+        n, at = len(ids), len(self.known)
+        while self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while at + len(pieces) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.used : self.used + n] = ids
+        self.length[at : at + len(pieces)] = length
+        self.start[at : at + len(pieces)] = self.used + np.cumsum(length) - length
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.used += n
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one after another, and their lengths."""
+        length = self.length[rows]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[rows] - (ends - length), length) + np.arange(total)], length
 
 
 class Encoder:
-    """Encodes texts; at most ``most`` pieces, or 8 million of their ids, are remembered at a time."""
+    """Encodes texts; two tables of about ``most`` pieces are remembered, the older one being dropped when both are full."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.forget()
+        vocabulary = self.tokenizer.get_vocab()
+        self.wide = max(vocabulary.values()) >= 1 << 16
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = self._letters()
+        self.new, self.old = _Table(), _Table()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+    def _letters(self) -> tuple[tiktoken.Encoding, np.ndarray] | None:
+        """The same merges over words of a-z, for the faster library: a word's last letter is written as a capital.
+
+        None if the vocabulary does not mark word ends by a suffix; with its ranks come their ids.
+        """
+        model = json.loads(self.tokenizer.to_str())["model"]
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
+            return None
+        ranks, ids = {}, []
+
+        def add(token: str) -> None:
+            word = token.removesuffix("</w>")
+            if word.isascii() and word.isalpha() and word.islower() and token in model["vocab"]:
+                ranks[(word if word == token else word[:-1] + word[-1].upper()).encode()] = len(ids)
+                ids.append(model["vocab"][token])
+
+        for c in "abcdefghijklmnopqrstuvwxyz":
+            add(c)
+            add(c + "</w>")
+        if len(ids) < 52:
+            return None
+        for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+            add(a + b)
+        return tiktoken.Encoding("letters", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={}), np.array(ids, np.uint32)
+
+    def _ask(self, pieces: list[str], plain: bool) -> None:
+        """Has the library encode pieces; plain ones at once, since each of them ends with its only word end."""
+        if plain and self.letters:
+            words = [p for p in pieces if p.isascii() and p.isalpha()]
+            pieces = [p for p in pieces if not (p.isascii() and p.isalpha())]
+            if words:
+                ids = self.letters[1][self.letters[0].encode_ordinary("".join([w[:-1] + w[-1].upper() for w in words]))]
+                self.new.add(words, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        if not pieces:
+            return
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(pieces) and ends[-1] == len(ids):
+                self.new.add(pieces, ids, np.diff(ends, prepend=0))
+                return
+        got = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        self.new.add(pieces, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
     def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            for piece, got in zip(pieces[k : k + 4096], self.tokenizer.encode_batch(pieces[k : k + 4096], add_special_tokens=False), strict=True):
-                n, at = len(got.ids), len(self.known)
-                while self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if at >= len(self.start):
-                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-                self.ids[self.used : self.used + n], self.start[at], self.length[at] = got.ids, self.used, n
-                self.known[piece], self.used = at, self.used + n
+        """Puts distinct pieces that the new table lacks into it."""
+        known, old = self.new.known, self.old.known
+        again = [p for p in pieces if p in old]
+        if again:
+            self.new.add(again, *self.old.gather(np.array([old[p] for p in again], np.int64)))
+        fresh = [p for p in pieces if p not in known]
+        whole = [p for p in fresh if p.isascii() and p.isalpha() and p.islower()]
+        plain = set(whole)
+        split = {p: _CORE.findall(p.lower()) for p in fresh if p not in plain and _PLAIN.fullmatch(p) and "<|" not in p}
+        lacking = whole + [c for c in dict.fromkeys(c for x in split.values() for c in x) if c not in known and c not in plain]
+        back = [c for c in lacking if c in old]
+        if back:
+            self.new.add(back, *self.old.gather(np.array([old[c] for c in back], np.int64)))
+        self._ask([c for c in lacking if c not in old], True)
+        made = [p for p in split if p not in known]
+        if made:
+            ids, length = self.new.gather(np.array([known[c] for p in made for c in split[p]], np.int64))
+            first = np.cumsum([0, *[len(split[p]) for p in made]])[:-1]
+            self.new.add(made, ids, np.add.reduceat(length, first))
+        self._ask([p for p in fresh if p not in split and p not in plain], False)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers; texts that come together share the calls to the library."""
+        cut = pc.split_pattern(pa.array([x.replace("\n", " ").replace("\t", " ").replace("\r", " ") for x in texts], pa.large_string()), " ")
+        words = cut.flatten().dictionary_encode()
+        pieces, place = words.dictionary.to_pylist(), words.indices.to_numpy()
+        rows = np.fromiter(map(self.new.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        lacking = np.flatnonzero(rows < 0)
+        if len(lacking):
+            missed = [pieces[k] for k in lacking.tolist()]
+            self._learn(missed)
+            rows[lacking] = np.fromiter(map(self.new.known.__getitem__, missed), np.int64, len(missed))
+        ids, length = self.new.gather(rows[place])
+        after = np.concatenate([[0], np.cumsum(length)])[cut.offsets.to_numpy()].tolist()
+        if len(self.new.known) > self.most or self.new.used > 4_000_000:
+            self.new, self.old = _Table(), self.new
+        return [ids[a:b] for a, b in pairwise(after)]
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids as unsigned 32-bit integers."""
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        get = self.known.get
-        at = [get(x) for x in pieces]
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, k in zip(pieces, at, strict=True) if k is None)))
-            at = [get(x) for x in pieces]
-        rows = np.array(at, dtype=np.int64)
-        length = self.length[rows]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.ids[np.repeat(self.start[rows] - (ends - length), length) + np.arange(total)]
-        if len(self.known) > self.most or self.used > 8_000_000:
-            self.forget()
-        return out
+        return self.encode_all([text])[0]
+
+
+def batches_of(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts of about ``chars`` characters together."""
+    batch, n = [], 0
+    for text in texts:
+        batch.append(text)
+        n += len(text)
+        if n >= chars:
+            yield batch
+            batch, n = [], 0
+    if batch:
+        yield batch
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; tasks that follow each other in one worker share what it remembers."""
+    return Encoder(path)
 
 
 def default_vocabulary() -> str:
