@@ -70,12 +70,13 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
         own, plane = encoder(vocabulary), projection()
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                bags = [np.concatenate([ids, end]) for texts in batches_of([x or "" for x in part.column(1).to_pylist()]) for ids in own.encode_all(texts)]
+            k = 0
+            for texts in batches_of([x or "" for x in batch.column(1).to_pylist()]):
+                bags = [np.concatenate([ids, end]) for ids in own.encode_all(texts)]
                 raw = [x.astype("<u4" if own.wide else "<u2").tobytes() for x in bags]
-                columns = [part.column(0), pa.array(hilbert_key(curve_points(bags, plane)), pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([len(x) for x in bags], pa.int64()), pa.array(raw, pa.binary())]
+                columns = [batch.column(0).slice(k, len(texts)), pa.array(hilbert_key(curve_points(bags, plane)), pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([len(x) for x in bags], pa.int64()), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "tie", "n_tokens", "ids"])
+                k += len(texts)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, key long, tie long, n_tokens long, ids binary")

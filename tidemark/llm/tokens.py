@@ -1,9 +1,9 @@
 """Token ids of whole texts with a vocabulary file of the ``tokenizers`` library.
 
 For a tokenizer that drops white space between its tokens, the ids of a text are those of its pieces between blanks,
-one after another.  Pieces repeat far more often than texts, so each worker remembers theirs in a bounded table and
-only new ones go to the library.  A new piece of plain letters, digits and signs is first split where the tokenizer
-would split it, since its word alone has mostly been met before.  What is remembered never changes a result.
+one after another.  Texts are taken in batches whose distinct pieces are encoded once.  Pieces of plain letters, digits
+and signs are split where the tokenizer would split them; words of Latin letters then go through ``tiktoken`` with the
+same merges, which is several times faster, and all others through the library itself, which are remembered.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise, repeat
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,12 @@ import pyarrow.compute as pc
 import tiktoken
 
 #: Pieces that the tokenizer only lowers and splits: no apostrophes (contractions), no marks that could compose.
-_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-_CORE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-þ]+")
+_CORE = re.compile(r"[a-zß-öø-þ]+|[0-9]|[^a-zß-öø-þ0-9]+")
+_LETTERS = re.compile(r"[a-zß-öø-þ]+")
+_LOWER = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0xFF) if c != 0xF7)
+#: How a word's last letter is written for the faster library: as a capital; the sign for times stands in for that of ß.
+_LAST = {c: "×" if c == "ß" else c.upper() for c in _LOWER}
 
 
 class _Table:
@@ -30,22 +34,26 @@ class _Table:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 12, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
 
     def add(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         """Pieces that are new here, their ids one after another."""
         n, at = len(ids), len(self.known)
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(pieces) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
+        if at + len(pieces) > len(self.start):
+            more = np.zeros(max(len(pieces), len(self.start)), np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
         self.ids[self.used : self.used + n] = ids
         self.length[at : at + len(pieces)] = length
         self.start[at : at + len(pieces)] = self.used + np.cumsum(length) - length
         self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
         self.used += n
 
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows, one after another, and their lengths."""
         length = self.length[rows]
@@ -55,9 +63,9 @@ class _Table:
 
 
 class Encoder:
-    """Encodes texts; two tables of about ``most`` pieces are remembered, the older one being dropped when both are full."""
+    """Encodes texts; at most about ``most`` pieces that only the library can encode are remembered."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,96 +75,111 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.letters = self._letters()
-        self.new, self.old = _Table(), _Table()
+        self.kept = _Table()
 
     def _letters(self) -> tuple[tiktoken.Encoding, np.ndarray] | None:
-        """The same merges over words of a-z, for the faster library: a word's last letter is written as a capital.
+        """The same merges over words of Latin letters, for the faster library, and the ids of its ranks.
 
-        None if the vocabulary does not mark word ends by a suffix; with its ranks come their ids.
+        None if the vocabulary is no byte-level one that marks word ends by a suffix.
         """
         model = json.loads(self.tokenizer.to_str())["model"]
         if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
             return None
+        byte_of = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+        byte_of |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if chr(b) not in byte_of)}
+        inner = {*_LOWER[:26].encode(), *chain.from_iterable(c.encode() for c in _LOWER[26:])}
+        last = {c.encode()[-1]: _LAST[c].encode()[-1] for c in _LOWER}
         ranks, ids = {}, []
 
         def add(token: str) -> None:
-            word = token.removesuffix("</w>")
-            if word.isascii() and word.isalpha() and word.islower() and token in model["vocab"]:
-                ranks[(word if word == token else word[:-1] + word[-1].upper()).encode()] = len(ids)
+            word = bytes(byte_of[c] for c in token.removesuffix("</w>"))
+            if token in model["vocab"] and word and inner.issuperset(word):
+                if token.endswith("</w>"):
+                    if word[-1] not in last:
+                        return
+                    word = word[:-1] + bytes([last[word[-1]]])
+                ranks[word] = len(ids)
                 ids.append(model["vocab"][token])
 
-        for c in "abcdefghijklmnopqrstuvwxyz":
-            add(c)
-            add(c + "</w>")
-        if len(ids) < 52:
+        for c, b in byte_of.items():
+            if b in inner:
+                add(c)
+                add(c + "</w>")
+        if len(ids) < len(inner) + len(last):
             return None
         for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             add(a + b)
-        return tiktoken.Encoding("letters", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={}), np.array(ids, np.uint32)
-
-    def _ask(self, pieces: list[str], plain: bool) -> None:
-        """Has the library encode pieces; plain ones at once, since each of them ends with its only word end."""
-        if plain and self.letters:
-            words = [p for p in pieces if p.isascii() and p.isalpha()]
-            pieces = [p for p in pieces if not (p.isascii() and p.isalpha())]
-            if words:
-                ids = self.letters[1][self.letters[0].encode_ordinary("".join([w[:-1] + w[-1].upper() for w in words]))]
-                self.new.add(words, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
-        if not pieces:
-            return
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(pieces) and ends[-1] == len(ids):
-                self.new.add(pieces, ids, np.diff(ends, prepend=0))
-                return
+        return tiktoken.Encoding("letters", pat_str="[a-zß-öø-þ]*[A-ZÀ-Þ]", mergeable_ranks=ranks, special_tokens={}), np.array(ids, np.uint32)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words of Latin letters."""
+        if self.letters:
+            ids = self.letters[1][self.letters[0].encode_ordinary("".join([w[:-1] + _LAST[w[-1]] for w in words]))]
+        else:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._each(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        self.new.add(pieces, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts distinct pieces that the new table lacks into it."""
-        known, old = self.new.known, self.old.known
-        again = [p for p in pieces if p in old]
-        if again:
-            self.new.add(again, *self.old.gather(np.array([old[p] for p in again], np.int64)))
-        fresh = [p for p in pieces if p not in known]
-        whole = [p for p in fresh if p.isascii() and p.isalpha() and p.islower()]
-        plain = set(whole)
-        split = {p: _CORE.findall(p.lower()) for p in fresh if p not in plain and _PLAIN.fullmatch(p) and "<|" not in p}
-        lacking = whole + [c for c in dict.fromkeys(c for x in split.values() for c in x) if c not in known and c not in plain]
-        back = [c for c in lacking if c in old]
-        if back:
-            self.new.add(back, *self.old.gather(np.array([old[c] for c in back], np.int64)))
-        self._ask([c for c in lacking if c not in old], True)
-        made = [p for p in split if p not in known]
-        if made:
-            ids, length = self.new.gather(np.array([known[c] for p in made for c in split[p]], np.int64))
-            first = np.cumsum([0, *[len(split[p]) for p in made]])[:-1]
-            self.new.add(made, ids, np.add.reduceat(length, first))
-        self._ask([p for p in fresh if p not in split and p not in plain], False)
+        return np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _others(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of pieces that only the library can encode."""
+        if len(self.kept.known) > self.most or self.kept.used > 4_000_000:
+            self.kept = _Table()
+        fresh = [p for p in pieces if p not in self.kept.known]
+        if fresh:
+            self.kept.add(fresh, *self._each(fresh))
+        return self.kept.gather(self.kept.rows(pieces))
+
+    def _table(self, pieces: list[str]) -> _Table:
+        """The ids of distinct pieces."""
+        table, words, mixed, cores, other = _Table(), [], [], [], []
+        letters, plain, core = _LETTERS.fullmatch, _PLAIN.fullmatch, _CORE.findall
+        for p in pieces:
+            if letters(p):
+                words.append(p)
+            elif plain(p) and "<|" not in p:
+                mixed.append(p)
+                cores.append(core(p.lower()))
+            else:
+                other.append(p)
+        if mixed:
+            have = set(words)
+            for c in dict.fromkeys(chain.from_iterable(cores)):
+                if c not in have:
+                    (words if letters(c) else other).append(c)
+        if words:
+            table.add(words, *self._words(words))
+        if other:
+            other = list(dict.fromkeys(other))
+            table.add(other, *self._others(other))
+        if mixed:
+            pairs = [(p, c) for p, c in zip(mixed, cores, strict=True) if p not in table.known]  # a sign is its own core
+            if pairs:
+                ids, length = table.gather(table.rows(list(chain.from_iterable(c for _, c in pairs))))
+                first = np.cumsum([0, *[len(c) for _, c in pairs]])[:-1]
+                table.add([p for p, _ in pairs], ids, np.add.reduceat(length, first))
+        return table
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers; texts that come together share the calls to the library."""
+        """The ids of each text as unsigned 32-bit integers."""
         cut = pc.split_pattern(pa.array([x.replace("\n", " ").replace("\t", " ").replace("\r", " ") for x in texts], pa.large_string()), " ")
         words = cut.flatten().dictionary_encode()
-        pieces, place = words.dictionary.to_pylist(), words.indices.to_numpy()
-        rows = np.fromiter(map(self.new.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        lacking = np.flatnonzero(rows < 0)
-        if len(lacking):
-            missed = [pieces[k] for k in lacking.tolist()]
-            self._learn(missed)
-            rows[lacking] = np.fromiter(map(self.new.known.__getitem__, missed), np.int64, len(missed))
-        ids, length = self.new.gather(rows[place])
+        pieces = words.dictionary.to_pylist()
+        table = self._table(pieces)
+        ids, length = table.gather(table.rows(pieces)[words.indices.to_numpy()])
         after = np.concatenate([[0], np.cumsum(length)])[cut.offsets.to_numpy()].tolist()
-        if len(self.new.known) > self.most or self.new.used > 4_000_000:
-            self.new, self.old = _Table(), self.new
         return [ids[a:b] for a, b in pairwise(after)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
 
-def batches_of(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+def batches_of(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
     """Consecutive texts of about ``chars`` characters together."""
     batch, n = [], 0
     for text in texts:
