@@ -13,7 +13,7 @@ their whole word sequence, which is counted over all texts; only words under win
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -161,27 +161,38 @@ def _first_copies(docs: DataFrame, text_col: str) -> DataFrame:
 def _windows(texts: DataFrame, window: int) -> DataFrame:
     """``(k1, k2, d1, d2, at, copies)``: digest and start of each window whose anchor was hit."""
 
+    names = ["k1", "k2", "copies", "d1", "d2", "at"]
+
     def run(batches):
-        hashes = WordHashes()
-        names = ["k1", "k2", "copies", "d1", "d2", "at"]
+        hashes, held, n = WordHashes(), [], 0
+
+        def made() -> pa.RecordBatch:
+            keys = np.repeat(np.array([x[:3] for x in held], np.int64), [len(x[4]) for x in held], axis=0)
+            two = np.frombuffer(b"".join([x[3] for x in held]), "<i8").reshape(-1, 2)
+            columns = [*(np.ascontiguousarray(keys[:, c]) for c in range(3)), np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1]), np.concatenate([x[4] for x in held]).astype(np.int32)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
         for batch in batches:
             for k1, k2, text, copies, hit in zip(*batch.columns, strict=True):
                 words = split_words(text.as_py())
                 low, _ = window_anchors(hashes(words), window)
-                at = np.flatnonzero(np.isin(low, hit.values.to_numpy()))
-                if not len(at):
-                    continue
+                hit = np.sort(hit.values.to_numpy())
+                at = np.flatnonzero(hit[np.minimum(np.searchsorted(hit, low), len(hit) - 1)] == low)
                 joined = b" ".join(words)
-                ends = np.fromiter(accumulate(len(w) + 1 for w in words), np.int64, len(words))
-                start = np.concatenate([[0], ends[:-1]])[at].tolist()
+                ends = np.fromiter(accumulate(map(len, words)), np.int64, len(words)) + np.arange(len(words))
+                starts = np.concatenate([[0], ends[:-1] + 1])
                 digest = xxhash.xxh3_128_digest
-                raw = b"".join([digest(joined[a:b]) for a, b in zip(start, (ends[at + window - 1] - 1).tolist(), strict=True)])
-                two = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                for k in range(0, len(at), 100_000):
-                    part = slice(k, k + 100_000)
-                    n = len(at[part])
-                    same = lambda x: pa.array(np.full(n, x.as_py(), np.int64))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(k1), same(k2), same(copies), *[pa.array(np.ascontiguousarray(x)) for x in (two[part, 0], two[part, 1])], pa.array(at[part].astype(np.int32))], names=names)
+                for k in range(0, len(at), 50_000):
+                    part = at[k : k + 50_000]
+                    raw = b"".join([digest(joined[a:b]) for a, b in zip(starts[part].tolist(), ends[part + window - 1].tolist(), strict=True)])
+                    held.append((k1.as_py(), k2.as_py(), copies.as_py(), raw, part))
+                    n += len(part)
+                    if n >= 50_000:
+                        yield made()
+                        n = 0
+        if held:
+            yield made()
 
     return texts.mapInArrow(run, "k1 long, k2 long, copies long, d1 long, d2 long, at int")
 
@@ -191,15 +202,17 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k1, k2, text, starts in zip(*batch.columns, strict=True):
+            gone_of, kept_of = [], []
+            for text, starts in zip(batch.column(2), batch.column(3), strict=True):
                 words = split_words(text.as_py())
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(starts.values.to_numpy())
                 edge[at] += 1
-                np.subtract.at(edge, at + window, 1)
+                edge[at + window] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                yield pa.RecordBatch.from_arrays([pa.array([k1.as_py()]), pa.array([k2.as_py()]), pa.array([int(gone.sum())], pa.int64()), pa.array([kept], pa.binary())], names=["k1", "k2", "n_removed", "kept"])
+                gone_of.append(int(gone.sum()))
+                kept_of.append(b" ".join(compress(words, (~gone).tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone_of, pa.int64()), pa.array(kept_of, pa.binary())], names=["k1", "k2", "n_removed", "kept"])
 
     return texts.mapInArrow(run, "k1 long, k2 long, n_removed long, kept binary")
 
