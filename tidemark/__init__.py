@@ -1,0 +1 @@
+"""Retrieval and knowledge analytics on Spark DataFrames."""
