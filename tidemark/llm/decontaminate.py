@@ -23,15 +23,16 @@ from tidemark.llm.common import Workspace, width
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
 _BLOCK = 16  # words; windows begin at multiples of it
+_SIZES = (3, 5)  # blocks of a window, the smallest that holds the item wherever it begins; longer items have their own
 _SLICE = 512  # features whose sums travel together
-_CHUNK = 1 << 14  # words whose vectors are made at a time
+_CHUNK = 1 << 13  # words whose vectors are made at a time; they fit a core's cache
 
 
 @dataclass(frozen=True)
 class Limits:
     """When a window is a candidate and when a candidate is a leak."""
 
-    cosine: float = 0.4
+    cosine: float = 0.45
     lcs: float = 0.8
     lcs_with_answer: float = 0.6
     answer: float = 0.75
@@ -61,7 +62,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[object, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.words, self.answers, self.blocks = [], [], [], []
+        self.ids, self.words, self.bags, self.answers, self.blocks = [], [], [], [], []
         for key, text in rows:
             words = words_of(text)
             if not words:
@@ -70,12 +71,17 @@ class Items:
             sentences = [s for s in map(words_of, _SENTENCE.split(text or "")) if s]
             self.ids.append(key)
             self.words.append(ids)
+            self.bags.append(np.unique(ids))
             self.answers.append([self.vocabulary[w] for w in sentences[-1]])
-            self.blocks.append(-(-(len(ids) + _BLOCK - 1) // _BLOCK))
+            need = -(-(len(ids) + _BLOCK - 1) // _BLOCK)
+            self.blocks.append(next((m for m in _SIZES if m >= need), need))
 
 
 def _encode(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFrame:
-    """``(id, k1, k2, words)``: the text's words as little-endian 32-bit numbers, -1 for words of no item."""
+    """``(id, k1, k2, words)``: the text's words as little-endian 32-bit numbers, -1 for words of no item.
+
+    Whole blocks are written, the last being filled up with -1, so texts can be laid end to end.
+    """
     raw = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), raw).alias("k1"), F.xxhash64(F.lit(2), raw).alias("k2"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(items.vocabulary)  # one block of the benchmark
@@ -88,7 +94,9 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFr
             out = []
             for x in batch.column(3):
                 words = words_of(x.as_py())
-                out.append(np.fromiter(map(get, words, repeat(-1)), "<i4", len(words)).tobytes())
+                ids = np.full(-(-len(words) // _BLOCK) * _BLOCK, -1, "<i4")
+                ids[: len(words)] = np.fromiter(map(get, words, repeat(-1)), "<i4", len(words))
+                out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["id", "k1", "k2", "words"])
 
     return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, k1 long, k2 long, words binary")
@@ -118,10 +126,20 @@ def _slices(sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k // _SLICE for k in n], pa.int64()), pa.array([np.ascontiguousarray(sums[k : k + _SLICE]).tobytes() for k in n], pa.binary())], names=["slice", "sums"])
 
 
-def _texts(batches, column: int):
+def _runs(batches):
+    """The encoded words of many texts end to end, about ``_CHUNK`` at a time, cut at blocks."""
+    held, n = [], 0
     for batch in batches:
-        for k, raw in enumerate(batch.column(column)):
-            yield batch, k, np.frombuffer(raw.as_py(), "<i4")
+        for raw in batch.column(0):
+            words = np.frombuffer(raw.as_py(), "<i4")
+            for k in range(0, len(words), _CHUNK):
+                held.append(words[k : k + _CHUNK])
+                n += len(held[-1])
+                if n >= _CHUNK:
+                    yield np.concatenate(held)
+                    held, n = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def document_frequency(encoded: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
@@ -129,7 +147,7 @@ def document_frequency(encoded: DataFrame, n_words: int) -> tuple[np.ndarray, in
 
     def run(batches):
         df = np.zeros((n_words + 1, 1))
-        for _, _, words in _texts(batches, 0):
+        for words in _runs(batches):
             at = np.flatnonzero(words >= 0)
             pairs = np.unique((at // (2 * _BLOCK)) * n_words + words[at])
             df[:n_words, 0] += np.bincount(pairs % n_words, minlength=n_words)
@@ -141,48 +159,45 @@ def document_frequency(encoded: DataFrame, n_words: int) -> tuple[np.ndarray, in
 
 
 def block_vectors(words: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``table`` (its last is zero) by block of words."""
-    n = -(-len(words) // _BLOCK)
-    out = np.zeros((n, table.shape[1]), np.float32)
-    for k in range(0, len(words), _CHUNK):
-        part = words[k : k + _CHUNK]
-        at = np.flatnonzero(part >= 0)
-        if len(at):
-            block = at // _BLOCK
-            first = np.flatnonzero(np.diff(block, prepend=-1))
-            out[k // _BLOCK + block[first]] = np.add.reduceat(table[part[at]], first, axis=0)
+    """Sums of the rows of ``table`` by block of words; words of -1 have none."""
+    out = np.zeros((-(-len(words) // _BLOCK), table.shape[1]), np.float32)
+    at = np.flatnonzero(words >= 0)
+    if len(at):
+        block = at // _BLOCK
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        out[block[first]] = np.add.reduceat(table[words[at]], first, axis=0)
     return out
 
 
-def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, rank: int) -> np.ndarray:
-    """An orthonormal basis ``(words, rank)`` of the leading right singular vectors of all passages' TF-IDF matrix A.
+def latent_table(encoded: DataFrame, items: Items, idf: np.ndarray, rank: int) -> np.ndarray:
+    """What each word adds to a passage's place in the latent space: ``(words, rank)``.
 
-    It spans A'A times a random matrix; the items are passages too, weighted to hold as much as the corpus does.
+    One pass over all passages (a block each) makes Y = A'(A R) for a random R, A being their TF-IDF matrix; the items
+    are passages too, weighted to hold as much as the corpus does.  From Y and R come the leading right singular
+    vectors V and values S of A; a passage x lies at x V / S, where all directions vary alike.
     """
     spark, n = encoded.sparkSession, len(idf)
     rank = min(rank, n)
-    start = np.random.default_rng(17).standard_normal((n, rank)).astype(np.float32)
-    sketch = np.vstack([start * idf[:, None], np.zeros((1, rank))]).astype(np.float32)
+    random = np.random.default_rng(17).standard_normal((n, rank))
+    sketch = (random * idf[:, None]).astype(np.float32)
     shared = spark.sparkContext.broadcast((sketch, idf))  # one block of the benchmark
 
     def project(words: np.ndarray, sums: np.ndarray, table: np.ndarray, idf: np.ndarray) -> None:
-        """Adds A'(A sketch) of one text's passages (a block each), and their squares in the last column."""
-        for k in range(0, len(words), _CHUNK):
-            part = words[k : k + _CHUNK]
-            made = block_vectors(part, table)
-            at = np.flatnonzero(part >= 0)
-            if len(at):
-                order = at[np.argsort(part[at], kind="stable")]
-                ids = part[order]
-                first = np.flatnonzero(np.diff(ids, prepend=-1))
-                row = ids[first]
-                sums[row, :-1] += idf[row][:, None] * np.add.reduceat(made[order // _BLOCK], first, axis=0)
-                sums[row, -1] += idf[row] ** 2 * np.diff(first, append=len(ids))
+        """Adds A'(A R) of a run of blocks, and their squares in the last column."""
+        made = block_vectors(words, table)
+        at = np.flatnonzero(words >= 0)
+        if len(at):
+            order = at[np.argsort(words[at], kind="stable")]
+            ids = words[order]
+            first = np.flatnonzero(np.diff(ids, prepend=-1))
+            row = ids[first]
+            sums[row, :-1] += idf[row][:, None] * np.add.reduceat(made[order // _BLOCK], first, axis=0)
+            sums[row, -1] += idf[row] ** 2 * np.diff(first, append=len(ids))
 
     def run(batches):
         table, idf = shared.value
         sums = np.zeros((n, rank + 1))
-        for _, _, words in _texts(batches, 0):
+        for words in _runs(batches):
             project(words, sums, table, idf)
         yield _slices(sums)
 
@@ -190,79 +205,105 @@ def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, rank: int) -
     own = np.zeros((n, rank + 1))
     for words in items.words:
         project(np.array(words, "<i4"), own, sketch, idf)
-    weight = corpus[:, -1].sum() / max(own[:, -1].sum(), 1e-12)
-    basis, _ = np.linalg.qr(corpus[:, :-1] + max(weight, 1e-9) * own[:, :-1])
-    return basis
+    weight = max(corpus[:, -1].sum() / max(own[:, -1].sum(), 1e-12), 1e-9)
+    product = corpus[:, :-1] + weight * own[:, :-1]
+    core = random.T @ product
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > values[-1] * 1e-10
+    v, s, _ = np.linalg.svd(product @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    return (v / np.maximum(s, s[0] * 1e-6) * idf[:, None]).astype(np.float32)
+
+
+def _segments(texts: list[np.ndarray], overlap: int):
+    """Groups of ``(text, first block, blocks, own blocks)`` of about ``_CHUNK`` words; long texts are cut, with an overlap."""
+    group, n, most = [], 0, _CHUNK // _BLOCK
+    for k, words in enumerate(texts):
+        total = len(words) // _BLOCK
+        for s in range(0, total, most):
+            blocks = min(total - s, most + overlap)
+            group.append((k, s, blocks, min(most, total - s)))
+            n += blocks
+            if n >= most:
+                yield group
+                group, n = [], 0
+    if group:
+        yield group
 
 
 def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits) -> DataFrame:
-    spark = encoded.sparkSession
-    table = np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
-    shared = spark.sparkContext.broadcast((table, items))  # one block of the benchmark
+    shared = encoded.sparkSession.sparkContext.broadcast((table, items))  # one block of the benchmark
 
-    def sizes(items: Items, table: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    def sizes(items: Items, table: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
         out = []
         for m in sorted(set(items.blocks)):
             pick = np.array([k for k, b in enumerate(items.blocks) if b == m])
             vectors = np.stack([table[items.words[k]].sum(axis=0) for k in pick])
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
-            least = min(len(items.words[k]) for k in pick)
-            out.append((m, pick, np.ascontiguousarray(vectors.T), least))
+            out.append((m, pick, np.ascontiguousarray(vectors.T), limits.lcs_with_answer * min(len(items.words[k]) for k in pick)))
         return out
 
+    def candidates(texts: list[np.ndarray], kinds: list, table: np.ndarray):
+        """``(text, item, cosine, first word, end)`` of each window that comes near an item."""
+        for group in _segments(texts, max(m for m, *_ in kinds)):
+            words = np.concatenate([texts[k][s * _BLOCK : (s + b) * _BLOCK] for k, s, b, _ in group])
+            vectors = block_vectors(words, table)
+            total = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(vectors, axis=0, dtype=float)])
+            held = np.concatenate([[0], np.cumsum((words >= 0).reshape(-1, _BLOCK).sum(axis=1))])
+            base = np.cumsum([0, *[b for *_, b, _ in group]])
+            for m, pick, side, least in kinds:
+                counts = [max(0, min(own, max(1, b - m + 1))) if s + b == len(texts[k]) // _BLOCK else own for k, s, b, own in group]
+                of = np.repeat(np.arange(len(group)), counts)
+                first = base[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                last = np.minimum(first + m, base[of + 1])
+                enough = held[last] - held[first] >= least
+                of, first, last = of[enough], first[enough], last[enough]
+                window = (total[last] - total[first]).astype(np.float32)
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
+                near = window @ side
+                for i, j in zip(*np.nonzero(near >= limits.cosine * norm[:, None]), strict=True):
+                    k, s, *_ = group[of[i]]
+                    at = int(first[i] - base[of[i]] + s) * _BLOCK
+                    yield k, int(pick[j]), float(near[i, j] / norm[i]), at, at + int(last[i] - first[i]) * _BLOCK
+
     def run(batches):
         table, items = shared.value
         kinds = sizes(items, table)
         item_type = pa.array(items.ids).type
         names = ["id", "k1", "k2", "item", "cosine", "lcs", "answer", "start", "exact"]
+        types = [item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
         for batch in batches:
-            rows, found = [], []
-            for _, k, words in _texts([batch], 3):
-                best: dict[int, tuple] = {}
-                held = np.concatenate([[0], np.cumsum(words >= 0)])
-                vectors = block_vectors(words, table)
-                total = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(vectors, axis=0, dtype=float)])
-                n = len(vectors)
-                for m, pick, side, least in kinds:
-                    first = np.arange(max(1, n - m + 1)) if n else np.zeros(0, np.int64)
-                    last = np.minimum(first + m, n)
-                    enough = held[np.minimum(last * _BLOCK, len(words))] - held[first * _BLOCK] >= limits.lcs_with_answer * least
-                    first, last = first[enough], last[enough]
-                    for c in range(0, len(first), 4096):
-                        a, b = first[c : c + 4096], last[c : c + 4096]
-                        window = (total[b] - total[a]).astype(np.float32)
-                        norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-                        near = (window @ side) / np.maximum(norm, 1e-12)[:, None]
-                        for i, j in zip(*np.nonzero(near >= limits.cosine), strict=True):
-                            _judge(best, items, int(pick[j]), float(near[i, j]), words, int(a[i]) * _BLOCK, int(b[i]) * _BLOCK, limits)
-                for item, (lcs, cosine, answer, start, exact) in sorted(best.items()):
-                    rows.append(k)
-                    found.append((items.ids[item], cosine, lcs, answer, start, exact))
-            if rows:
-                types = [item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in range(3)], *[pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]], names=names)
+            texts = [np.frombuffer(raw.as_py(), "<i4") for raw in batch.column(3)]
+            best: dict[tuple[int, int], tuple] = {}
+            for k, item, cosine, start, end in candidates(texts, kinds, table):
+                _judge(best, items, k, item, cosine, texts[k], start, end, limits)
+            if best:
+                keys = sorted(best)
+                found = [(items.ids[item], best[k, item][1], best[k, item][0], *best[k, item][2:]) for k, item in keys]
+                rows = pa.array([k for k, _ in keys])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in range(3)], *[pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]], names=names)
 
     kind = {"int64": "long", "int32": "int"}.get(str(pa.array(items.ids).type), "string")
     return encoded.mapInArrow(run, f"id {encoded.dtypes[0][1]}, k1 long, k2 long, item {kind}, cosine double, lcs double, answer double, start long, exact boolean")
 
 
-def _judge(best: dict[int, tuple], items: Items, item: int, cosine: float, words: np.ndarray, start: int, end: int, limits: Limits) -> None:
-    """Verifies a candidate window and keeps the item's best one."""
-    own = items.words[item]
-    if item in best and best[item][0] == 1.0 and best[item][4]:
+def _judge(best: dict[tuple[int, int], tuple], items: Items, text: int, item: int, cosine: float, words: np.ndarray, start: int, end: int, limits: Limits) -> None:
+    """Verifies a candidate window and keeps the item's best one of the text."""
+    own, key = items.words[item], (text, item)
+    if key in best and best[key][0] == 1.0 and best[key][4]:
         return
-    region = words[max(0, start - _BLOCK) : end + _BLOCK].tolist()
+    region = words[max(0, start - _BLOCK) : end + _BLOCK]
+    if np.isin(region, items.bags[item]).sum() < limits.lcs_with_answer * len(own):
+        return  # no subsequence can be long enough
+    region = region.tolist()
     lcs = common_subsequence(own, region) / len(own)
-    exact = False
-    if lcs == 1.0:
-        exact = any(region[k : k + len(own)] == own for k in range(len(region) - len(own) + 1))
+    exact = lcs == 1.0 and any(region[k : k + len(own)] == own for k in range(len(region) - len(own) + 1))
     answer = common_subsequence(items.answers[item], region) / len(items.answers[item])
     leak = exact if len(own) < limits.least_words else lcs >= limits.lcs or lcs >= limits.lcs_with_answer and answer >= limits.answer
-    if leak and (item not in best or (lcs, exact, cosine) > (best[item][0], best[item][4], best[item][1])):
-        best[item] = (lcs, cosine, answer, start, exact)
+    if leak and (key not in best or (lcs, exact, cosine) > (best[key][0], best[key][4], best[key][1])):
+        best[key] = (lcs, cosine, answer, start, exact)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 128, limits: Limits | None = None, items_at_once: int = 2048) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, limits: Limits | None = None, items_at_once: int = 2048) -> DataFrame:
     """``(id, k1, k2, item, cosine, lcs, answer, start, exact)``: the leaks of each row, one for each item that it holds.
 
     k1 and k2 are hashes of the row's text.  Null texts have no words; items without words (null ones too) leak
@@ -283,8 +324,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         encoded = ws.table(_encode(docs, id_col, text_col, items), f"words-{k}", compression="zstd")
         df, passages = document_frequency(encoded, len(items.vocabulary))
         idf = np.log((1 + passages) / (1 + df)) + 0.05
-        basis = latent_basis(encoded, items, idf, rank)
-        leaks = ws.table(_leaks(encoded, items, basis * idf[:, None], limits), f"leaks-{k}")
+        leaks = ws.table(_leaks(encoded, items, latent_table(encoded, items, idf, rank), limits), f"leaks-{k}")
         ws.drop(f"words-{k}")
         found = leaks if found is None else found.union(leaks)
     if found is None:
