@@ -55,12 +55,20 @@ def supersede_tips(links: DataFrame, depth: int = 64) -> DataFrame:
         SELECT root, max_by(tip, hops) AS tip, max(hops) AS hops FROM walk GROUP BY root""")
 
 
-def supersede_cycles(links: DataFrame, rounds: int = 24) -> DataFrame:
-    """``(node)``: frames on or before a cycle; each round doubles the length of the paths that are followed."""
-    jump = links.groupBy("old").agg(F.min("new").alias("new"))
-    for _ in range(min(rounds, 6)):
-        ahead = jump.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        jump = jump.join(ahead, "new").select("old", F.col("next").alias("new"))
+def supersede_cycles(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """``(node)``: frames on or before a cycle of ``links(old, new)``.
+
+    Each round doubles the length of the paths that are followed, so chains drop out once they have ended; when a round
+    drops none, what is left never ends.  Rounds are checkpointed, so the plan stays short.
+    """
+    jump, held = links.groupBy("old").agg(F.min("new").alias("new")), -1
+    for _ in range(rounds):
+        jump = jump.checkpoint()
+        left = jump.count()
+        if left in (0, held):
+            break
+        held = left
+        jump = jump.join(jump.select(F.col("old").alias("new"), F.col("new").alias("next")), "new").select("old", F.col("next").alias("new"))
     return jump.select(F.col("old").alias("node")).distinct()
 
 
