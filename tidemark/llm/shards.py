@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -114,11 +115,12 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     first = dict(zip(counts, (np.cumsum(list(counts.values())) - list(counts.values())).tolist(), strict=True))
 
     def place(batches):
+        pack = zstandard.ZstdCompressor(level=3)  # the shuffle's own codec makes little of ids
         for batch in batches:
             start = np.array([first[p] for p in batch.column(0).to_pylist()], np.int64)
             sequence = start + batch.column(1).to_numpy()
             slot = feistel(sequence, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), *batch.columns[2:]], names=["slot", "sequence", "shard", "n_tokens", "docs", "starts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), *batch.columns[2:5], pa.array([pack.compress(x.as_py()) for x in batch.column(5)], pa.binary())], names=["slot", "sequence", "shard", "n_tokens", "docs", "starts", "ids"])
 
     placed = cut.mapInArrow(place, "slot long, sequence long, shard long, n_tokens long, docs array<bigint>, starts array<bigint>, ids binary")
     tasks = max(1, min(-(-total // per_shard), width(spark)))
@@ -126,7 +128,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     def write(batches):
         fs, base = _open_fs(folder)
         fs.create_dir(base, recursive=True)
-        shard, held, rows = None, [], []
+        shard, held, rows, unpack = None, [], [], zstandard.ZstdDecompressor()
 
         def close() -> None:
             """Writes the shard unless it is there already."""
@@ -154,6 +156,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
                 if own != shard:
                     close()
                     shard, held = own, []
+                raw = unpack.decompress(raw)
                 held.append(raw)
                 rows.append((slot, sequence, own, slot % per_shard * len(raw), n, zlib.crc32(raw), ids_of, starts))
             if rows:
