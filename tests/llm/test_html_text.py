@@ -15,6 +15,7 @@ PAGES = [
     ("<article><p>1 &lt; 2 &#233; &eacute;</p><pre>x\n\n  y</pre><table><tr><td>c1<td>c2</table></article>", "1 < 2 é é x y c1 c2"),
     ("<article><header><h1>Title</h1></header><p>Text</p><div class='ad'>Buy</div><div class=advert-box>Now</div></article>", "Title Text"),
     ("<article><p>Text</p><div class=sidebar><h3>Related</h3><p>More of it</p></div><section class='comments'><h2>2 comments</h2><p>Nice</p></section><p>End</p></article>", "Text End"),
+    ("<div id=top>Welcome stranger, read on below</div><div class='post-content'><p>The post.</p><div class=post-footer>Filed under x</div></div><p>Some other line that stands outside of it all.</p>", "The post."),
     ("<p>unclosed <b>bold <i>both", "unclosed bold both"), ("a < b and c > d", "a < b and c > d"),
 ]
 

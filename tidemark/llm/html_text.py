@@ -45,6 +45,7 @@ class Block:
     words: int
     link_words: int
     article: bool
+    content: bool
     furniture: bool
     notice: bool
     comment: bool
@@ -56,7 +57,7 @@ class Block:
 
 
 def _place(name: str, attrs: str) -> str:
-    """What an element's tag and names say about what is in it: s(kip), f(urniture), n(otice), c(omment), a(rticle) or ''."""
+    """What an element's tag and names say about what is in it: s(kip), f(urniture), n(otice), c(omment), h(eader), a(rticle), b (content) or ''."""
     if name in SKIP:
         return "f"
     if name in ("article", "main"):
@@ -80,7 +81,8 @@ def _place(name: str, attrs: str) -> str:
                     return "c"
                 if parts & NOTICE:
                     return "n"
-                if parts & FURNITURE and not parts & {"article", "post", "entry", "story"}:
+                hit = parts & FURNITURE
+                if hit - {"header"} or hit and not parts & {"article", "post", "entry", "story"}:
                     return "f"
                 if parts & CONTENT_NAMES and name in ("div", "section") and not own and not parts & {"wrapper", "container", "page"}:
                     own = "b"
@@ -101,7 +103,7 @@ def blocks(html: str | None) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                out.append(Block(text, n, min(n, link_words), bool(depth["a"]), bool(depth["f"] or depth["h"] and not depth["a"]), bool(depth["n"]), bool(depth["c"]), heading))
+                out.append(Block(text, n, min(n, link_words), bool(depth["a"]), bool(depth["b"]), bool(depth["f"] or depth["h"] and not depth["a"]), bool(depth["n"]), bool(depth["c"]), heading))
         parts, words, link_words = [], 0, 0
 
     def add(text: str) -> None:
@@ -196,8 +198,11 @@ def features(page: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     words = np.array([b.words for b in page], float)
     density = np.array([b.link_density for b in page])
-    flags = np.array([(b.article, b.furniture, b.notice, b.comment, b.heading) for b in page], float)
-    has = float(any(b.article and not (b.furniture or b.notice or b.comment) for b in page))
+    own = [b.article for b in page]
+    if not any(own):  # a page without article elements may name its content
+        own = [b.content and not (b.furniture or b.notice or b.comment) for b in page]
+    flags = np.array([(a, b.furniture, b.notice, b.comment, b.heading) for a, b in zip(own, page, strict=True)], float)
+    has = float(any(a and not (b.furniture or b.notice or b.comment) for a, b in zip(own, page, strict=True)))
     before = lambda x: np.concatenate([[0.0], x[:-1]])
     after = lambda x: np.concatenate([x[1:], [0.0]])
     return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags, np.full(len(page), has)])
