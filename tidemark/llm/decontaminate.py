@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, width
+from tidemark.llm.common import Workspace, fresh, width
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
@@ -335,6 +335,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The input's rows whose text holds no item."""
-    leaks = find_leaks(docs.withColumn("_row", F.lit(0)), benchmark, "_row", text_col, **options).select("k1", "k2").distinct()
-    raw = F.col(text_col).cast("binary")
-    return docs.withColumns({"k1": F.xxhash64(F.lit(1), raw), "k2": F.xxhash64(F.lit(2), raw)}).join(leaks, ["k1", "k2"], "left_anti").select(*docs.columns)
+    k1, k2 = fresh(docs, "k1", "k2")
+    leaks = find_leaks(docs.select(F.lit(0).alias("row"), F.col(f"`{text_col}`").alias("text")), benchmark, "row", "text", **options).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    raw = F.col(f"`{text_col}`").cast("binary")
+    keyed = docs.withColumns({k1: F.xxhash64(F.lit(1), raw), k2: F.xxhash64(F.lit(2), raw)})
+    return keyed.join(leaks, [k1, k2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, fresh
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -118,8 +118,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows get a number of their own first, so repeated rows and null ids are told apart.
     """
     ws = Workspace(docs.sparkSession, "groups")
-    rows = ws.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", compression="zstd")
-    found = near_duplicates(rows, "_row", text_col, **options).select("_row", "component_id")
-    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), "_row")
-    kept = found.join(rows.select("_row", id_col), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs, "_row")
+    rows = ws.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
+    found = near_duplicates(rows, row, text_col, **options).select(F.col(row).alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    kept = found.join(ids, "row").groupBy("component_id").agg(F.min_by("row", order).alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, width
+from tidemark.llm.common import Workspace, fresh, width
 
 _GRAM = 10
 _SEED = 77
@@ -260,8 +260,9 @@ def removal_report(found: Repeats) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, batches: int = 2) -> DataFrame:
     """The input with the repeated words taken out of ``text_col``; texts that lose none stay as they are."""
-    found = find_repeats(docs.withColumn("_row", F.lit(0)), "_row", text_col, window, batches)
-    text = F.col(text_col).cast("binary")
-    cut = found.cut.select("k1", "k2", F.col("kept").cast("string").alias("_kept"))
-    keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text)})
-    return keyed.join(cut, ["k1", "k2"], "left").withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+    k1, k2, kept = fresh(docs, "k1", "k2", "kept")
+    found = find_repeats(docs.select(F.lit(0).alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text", window, batches)
+    text = F.col(f"`{text_col}`").cast("binary")
+    cut = found.cut.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").cast("string").alias(kept))
+    keyed = docs.withColumns({k1: F.xxhash64(F.lit(1), text), k2: F.xxhash64(F.lit(2), text)})
+    return keyed.join(cut, [k1, k2], "left").withColumn(text_col, F.coalesce(kept, f"`{text_col}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
