@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidemark.operators import chunks, facts, store
+from tidemark.plans.engine import Engine
 from tidemark.streaming import streams
 
 LOG = "seq long, kind string, frame_id long, other_id long, ts_ms long, text string"
@@ -86,3 +87,32 @@ def test_streams(spark, tmp_path):
     files = spark.readStream.schema("relative_path string, text string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/files")
     streams.ingest_stream(files, s, checkpoint=f"{tmp_path}/check").awaitTermination()
     assert sorted(r.text for r in s.read("chunks").collect()) == ["int a();", "int b();", "int c();", "int c();", "int c();"]
+
+
+def test_engine_remembers_and_keeps_facts(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    new = spark.createDataFrame([(1, 5, "one two three four", {"labels": "a,b"}), (0, 4, "zero", {})], "ord long, ts_ms long, text string, metadata map<string,string>")
+    e.remember(new, target=3, overlap=1, session="s1")
+    frames = sorted(e.store.read("frames").collect(), key=lambda r: r.frame_id)
+    assert [(r.frame_id, r.text) for r in frames] == [(0, "zero"), (1, "one two three"), (2, "three four")] and frames[1].metadata["session"] == "s1" and frames[1].labels == ["a", "b"]
+    e.remember_handoff("carry on", 9, "p", ["x", "y"])
+    assert e.latest_handoff("p").first().text == "carry on" and e.latest_handoff("q").count() == 0
+    a = e.add_fact("user:1", "city", "Rome", {"k": "1", "j": "0"})
+    b = e.update_fact(a, "Oslo", {"k": "2"})
+    assert [(r.value, r.version, r.metadata) for r in e.search_facts("user:").collect()] == [("Oslo", 2, {"k": "2", "j": "0"})]
+    assert [r.id for r in e.fact_history(b).collect()] == [b, a] and e.get_fact(a).first().value == "Rome"
+    with pytest.raises(ValueError, match="current"):
+        e.update_fact(a, "Paris")
+    e.pin_fact(b)
+    assert e.pin_fact(b) == b
+    with pytest.raises(ValueError, match="pinned"):
+        e.delete_fact(b)
+    e.pin_fact(b, False)
+    assert e.delete_fact(b) and not e.delete_fact(b) and e.facts().count() == 0
+    e.optimize_surrogates()
+    assert e.store.read("surrogates").count() == 4 and e.store.read("frames").count() == 4
+    docs = spark.createDataFrame([(1, '{"blueprint": "/A", "asset_name": "A"}')], "doc_id long, json string")
+    e.write_graphs(docs)
+    assert e.read_graph(e.store.read("graphs"), "A").count() == 1
+    with pytest.raises(ValueError, match="blueprint"):
+        e.write_graphs(spark.createDataFrame([(2, "{}")], "doc_id long, json string"))

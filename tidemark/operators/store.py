@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -115,60 +116,76 @@ class MaintenanceGate:
 
 
 class FrameStore:
-    """Tables of one root folder in numbered generations; a pointer file names the one that readers see.
+    """Tables of one root folder in numbered generations; a pointer file names what readers see.
 
-    A generation is written whole before the pointer moves, so a failed commit leaves readers where they were; the
-    latest ``keep`` generations stay.
+    A commit writes the tables that changed and then, last, a pointer that lists the generation of every table; a
+    commit that breaks off leaves readers where they were.  The latest ``keep`` pointers and what they list stay.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
 
-    def generations(self) -> list[int]:
+    def _names(self, start: str) -> list[int]:
         fs = self._fs()
         if not fs.exists(self._path("")):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(self._path(""))]
-        return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+        return sorted(int(n.removeprefix(start)) for n in names if n.startswith(start))
+
+    def generations(self) -> list[int]:
+        return self._names("current-")
 
     def current(self) -> int | None:
         return max(self.generations(), default=None)
 
-    def read(self, table: str, generation: int | None = None) -> DataFrame:
+    def tables(self, generation: int | None = None) -> dict[str, int]:
+        """The generation in which each table was written."""
         generation = self.current() if generation is None else generation
         if generation is None:
-            raise FileNotFoundError(f"no generation at {self.root}")
-        return self.spark.read.parquet(f"{self.root}/generation={generation}/{table}")
+            return {}
+        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/current-{generation}").collect()) or "{}")
+
+    def read(self, table: str, generation: int | None = None) -> DataFrame:
+        held = self.tables(generation)
+        if table not in held:
+            raise FileNotFoundError(f"no table {table} at {self.root}")
+        return self.spark.read.parquet(f"{self.root}/generation={held[table]}/{table}")
+
+    def read_or_empty(self, table: str, schema: str) -> DataFrame:
+        return self.read(table) if table in self.tables() else self.spark.createDataFrame([], schema)
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables of the next generation, then makes it the current one."""
+        """Writes these tables as the next generation and makes it the current one; all others stay as they are."""
         last = self.current()
         number = 0 if last is None else last + 1
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{self.root}/generation={number}/{name}")
         fs = self._fs()
-        fs.create(self._path(f"current-{number}"), False).close()
+        out = fs.create(self._path(f"current-{number}"), False)
+        out.write(bytearray(json.dumps(self.tables(last) | dict.fromkeys(tables, number)).encode()))
+        out.close()
         for old in self.generations()[: -self.keep]:
             fs.delete(self._path(f"current-{old}"), True)
-            fs.delete(self._path(f"generation={old}"), True)
+        used = {g for n in self.generations() for g in self.tables(n).values()}
+        for old in self._names("generation="):
+            if old not in used and old < number:
+                fs.delete(self._path(f"generation={old}"), True)
         return number
 
     def compact(self, frames: str = "frames") -> int:
         """Drops dead frames, keeping ids and links to frames that stay; other tables keep the rows of live frames."""
-        number = self.current()
         alive = live(self.read(frames))
-        status = self._fs().listStatus(self._path(f"generation={number}"))
-        names = [s.getPath().getName() for s in status if s.isDirectory()]
-        kept = alive.select("frame_id")
-        tables = {n: alive if n == frames else self.read(n).join(kept, "frame_id", "left_semi") if "frame_id" in self.read(n).columns else self.read(n) for n in names}
-        return self.commit(tables)
+        out = {frames: alive}
+        for name in self.tables():
+            if name != frames and "frame_id" in (rows := self.read(name)).columns:
+                out[name] = rows.join(alive.select("frame_id"), "frame_id", "left_semi")
+        return self.commit(out)
 
 
 def append_frames(frames: DataFrame, new: DataFrame) -> DataFrame:
@@ -196,3 +213,9 @@ def latest_handoff(frames: DataFrame, project: str | None = None) -> DataFrame:
     if project is not None:
         rows = rows.filter(F.col("metadata")["project"] == project)
     return rows.orderBy(F.desc("frame_id")).limit(1)
+
+
+def is_user_frame(metadata: Column) -> Column:
+    """True for frames that a user or an ingest wrote, as against facts that an enricher did."""
+    has = lambda k: F.coalesce(F.map_contains_key(metadata, k), F.lit(False))
+    return (has("source_kind") | has("chunk_id") | has("language") | has("symbol")) & ~has("enricher_kind")

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import answers, chunks, context, enrich, facts, fulltext, fusion, graph, maintain, rerank, store, vector_search
+from tidemark.streaming import streams
+
+
+FRAMES = "frame_id long, ts_ms long, text string, sha256 string, status int, kind string, metadata map<string,string>, labels array<string>, supersedes long, superseded_by long"
+FACT_LOG = "seq long, op string, entity string, attribute string, value string, metadata map<string,string>, id long, supersedes long, ts_ms long"
 
 
 class Engine:
@@ -66,8 +71,7 @@ class Engine:
             rows = rows.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, v: k != "session"), F.create_map(F.lit("session"), F.lit(session))))
         cut = chunks.chunk_words(rows.withColumnRenamed("ord", "frame_id"), target, overlap)
         pieces = cut.join(rows.select(F.col("ord").alias("frame_id"), "ts_ms", "metadata"), "frame_id").select(F.struct("frame_id", "chunk").alias("ord"), "ts_ms", "text", "metadata")
-        known = self.store.read("frames") if self.store.current() is not None else store.append_frames(self.spark.createDataFrame([], "frame_id long, ts_ms long, text string, sha256 string, status int, kind string, metadata map<string,string>, labels array<string>, supersedes long, superseded_by long"), pieces.limit(0))
-        return self.store.commit({"frames": store.append_frames(known, pieces)})
+        return self.store.commit({"frames": store.append_frames(self.store.read_or_empty("frames", FRAMES), pieces)})
 
     def remember_handoff(self, content: str, ts_ms: int, project: str | None = None, pending: list[str] | None = None) -> int:
         meta = {"kind": "handoff", **({"project": project} if project else {}), **({"pending": "\n".join(pending)} if pending else {})}
@@ -76,8 +80,101 @@ class Engine:
     def latest_handoff(self, project: str | None = None) -> DataFrame:
         return store.latest_handoff(self.store.read("frames"), project)
 
+    def optimize_surrogates(self, overwrite: bool = False) -> int:
+        """Summarizes the frames that have no summaries yet."""
+        made = self.store.read_or_empty("surrogates", "frame_id long, full string, gist string, micro string")
+        todo = maintain.summary_candidates(self.store.read("frames"), made, overwrite)
+        fresh = maintain.summarize(todo.select("frame_id", "text"))
+        kept = made.join(todo.select("frame_id"), "frame_id", "left_anti")
+        return self.store.commit({"surrogates": kept.unionByName(fresh)})
+
+    def start_index(self, files: DataFrame, enricher=None, checkpoint: str | None = None, interval: str | None = None):
+        """Starts the ingest of a stream of ``(relative_path, text)``; the query that comes back tells its progress and stops it."""
+        return streams.ingest_stream(files, self.store, enricher, checkpoint, interval)
+
+    # ---- facts
+
+    def _fact_log(self) -> DataFrame:
+        return self.store.read_or_empty("fact_log", FACT_LOG)
+
+    def _pins(self) -> DataFrame:
+        return self.store.read_or_empty("pins", "entity string, attribute string")
+
+    def facts(self, as_of_ms: int | None = None) -> DataFrame:
+        """The current facts, or those of a time."""
+        pins = self._pins().distinct().withColumn("pinned", F.lit(True))
+        return facts.latest(self._fact_log(), as_of_ms).join(pins, ["entity", "attribute"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+
+    def search_facts(self, prefix: str = "", limit: int = 100) -> DataFrame:
+        return facts.by_prefix(self.facts(), prefix, limit)
+
+    def _append(self, op: str, entity: str, attribute: str, value: str | None, metadata: dict[str, str], ts_ms: int, supersedes: int | None = None) -> int:
+        log = self._fact_log()
+        seq = log.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        row = self.spark.createDataFrame([(seq, op, entity, attribute, value, metadata, seq, supersedes, ts_ms)], FACT_LOG)
+        self.store.commit({"fact_log": log.unionByName(row)})
+        return seq
+
+    def add_fact(self, entity: str, attribute: str, value: str, metadata: dict[str, str] | None = None, ts_ms: int = 0) -> int:
+        """Adds or replaces a fact and returns the revision's id."""
+        if not entity or not attribute:
+            raise ValueError("a fact has an entity and an attribute")
+        return self._append("upsert", entity, attribute, value, metadata or {}, ts_ms)
+
+    def get_fact(self, id_: int) -> DataFrame:
+        """A revision of a fact, current or not."""
+        return facts.versions(self._fact_log()).filter(F.col("id") == id_)
+
+    def _current(self, id_: int):
+        row = self.facts().filter(F.col("id") == id_).first()
+        if row is not None and row["pinned"]:
+            raise ValueError("a pinned fact cannot be changed")
+        return row
+
+    def update_fact(self, id_: int, value: str, metadata: dict[str, str] | None = None, ts_ms: int = 0) -> int:
+        """A new revision of a current fact that is not pinned; its metadata are merged, the new ones winning."""
+        row = self._current(id_)
+        if row is None:
+            raise ValueError("only the current revision of a fact can be updated")
+        return self._append("upsert", row["entity"], row["attribute"], value, {**(row["metadata"] or {}), **(metadata or {})}, ts_ms, id_)
+
+    def delete_fact(self, id_: int, ts_ms: int = 0) -> bool:
+        row = self._current(id_)
+        if row is None:
+            return False
+        self._append("remove", row["entity"], row["attribute"], None, {}, ts_ms)
+        return True
+
+    def pin_fact(self, id_: int, pinned: bool = True) -> int:
+        row = self.facts().filter(F.col("id") == id_).select("entity", "attribute", "pinned")
+        if not (found := row.first()):
+            raise ValueError("only current facts can be pinned")
+        if found["pinned"] != pinned:
+            key = row.select("entity", "attribute")
+            self.store.commit({"pins": self._pins().unionByName(key) if pinned else self._pins().join(key, ["entity", "attribute"], "left_anti")})
+        return id_
+
+    def fact_history(self, id_: int) -> DataFrame:
+        return facts.history(facts.versions(self._fact_log()), id_)
+
     # ---- graph documents
 
+    def read_graph(self, documents: DataFrame, name: str, compressed: bool = False) -> DataFrame:
+        """``documents(doc_id, json)`` of this asset, in full or compressed."""
+        own = documents.filter(F.get_json_object(F.regexp_replace("json", "^\ufeff", ""), "$.asset_name") == name)
+        return graph.compress(own) if compressed else own
+
+    def write_graphs(self, documents: DataFrame) -> int:
+        """Commits documents that name their blueprint; the generation before is the backup."""
+        bad = documents.filter(F.get_json_object(F.regexp_replace("json", "^\ufeff", ""), "$.blueprint").isNull())
+        if bad.take(1):
+            raise ValueError("a document has no blueprint key")
+        kept = self.store.read_or_empty("graphs", "doc_id long, json string")
+        return self.store.commit({"graphs": chunks.upsert(kept, documents.select("doc_id", "json"), "doc_id")})
+
+    def patch_graphs(self, documents: DataFrame, intents: DataFrame) -> DataFrame:
+        return graph.patch(documents, intents)
+
     def graph_facts(self, raw: DataFrame) -> DataFrame:
         return graph.structural_facts(raw)
 
