@@ -48,6 +48,14 @@ class Workspace:
             pass
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, octets: int = 8 << 20) -> None:
+    """Lowers the session's limits for Arrow batches, so that neither side of a Python worker holds large ones; never raises them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", octets)):
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to clash with no column."""
     known = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, fresh, width
+from tidemark.llm.common import Workspace, fresh, small_batches, width
 
 _GRAM = 10
 _SEED = 77
@@ -35,7 +35,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, remembered for the most recent ones."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -151,7 +151,7 @@ def _first_copies(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
-            if len(seen) > 1_000_000:  # copies that slip through are left out later
+            if len(seen) > 200_000:  # copies that slip through are left out later
                 seen.clear()
             yield batch.take(pa.array(fresh, pa.int64()))
 
@@ -231,6 +231,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words than a window lose none; repeated rows are copies of each other; null ids and further columns change nothing.
     """
     spark, n = docs.sparkSession, batches
+    small_batches(spark)
     ws = Workspace(spark, "substring")
     marks = ws.table(_marked(docs, id_col, text_col, window), "marks", compression="zstd")
     log, hits = FingerprintLog(spark, f"{ws.path}/index"), None
@@ -246,7 +247,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = ws.table(_first_copies(docs, text_col).join(flagged, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "copies", "hit"), "texts", compression="zstd")
     ws.drop("index")
     seen = _windows(texts, window)  # made twice, which takes less than to keep a row for every window
-    twice = seen.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).filter("n > 1").select("d1", "d2")
+    # written, so that both sides of the join are plain exchanges and a passage that many texts share can be split
+    twice = ws.table(seen.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).filter("n > 1").select("d1", "d2"), "twice", compression="zstd")
     starts = seen.join(twice, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))
     cut = ws.table(_kept(texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]), window), "cut", compression="zstd")
     return Repeats(marks.drop("anchors"), cut)
