@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,3 +20,11 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     """The first k rows of each group; Spark cuts the groups before the shuffle too.  k <= 0 keeps all."""
     ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k) if k > 0 else ranked
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows, written to the folder of the session's checkpoints (one of our own only where none is set)."""
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return rows.checkpoint()

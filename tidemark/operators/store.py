@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.common import checkpointed
+
 
 def fold_mutations(log: DataFrame) -> DataFrame:
     """``(frame_id, ts_ms, text, status, supersedes, superseded_by)`` after a log of ``put``, ``delete``, ``supersede`` rows.
@@ -64,7 +66,7 @@ def supersede_cycles(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     jump, held = links.groupBy("old").agg(F.min("new").alias("new")), -1
     for _ in range(rounds):
-        jump = jump.checkpoint()
+        jump = checkpointed(jump)
         left = jump.count()
         if left in (0, held):
             break
