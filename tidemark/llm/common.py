@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,11 @@ class Workspace:
     def drop(self, name: str) -> None:
         delete_path(self.spark, f"{self.path}/{name}")
 
+    def tidy(self) -> None:
+        """Has the driver drop plans that nothing holds any more, whereupon Spark deletes their shuffle files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         atexit.unregister(self.close)
         try:

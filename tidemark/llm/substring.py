@@ -246,9 +246,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = held.join(hit, "hash").groupBy("k1", "k2").agg(F.collect_list("hash").alias("hit")).join(copies, ["k1", "k2"])
     texts = ws.table(_first_copies(docs, text_col).join(flagged, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "copies", "hit"), "texts", compression="zstd")
     ws.drop("index")
+    for k in range(n):
+        ws.drop(f"hits-{k}")
+    ws.tidy()  # the texts' shuffle is the largest, and over
     seen = _windows(texts, window)  # made twice, which takes less than to keep a row for every window
     # written, so that both sides of the join are plain exchanges and a passage that many texts share can be split
     twice = ws.table(seen.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).filter("n > 1").select("d1", "d2"), "twice", compression="zstd")
+    ws.tidy()
     starts = seen.join(twice, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))
     cut = ws.table(_kept(texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]), window), "cut", compression="zstd")
     return Repeats(marks.drop("anchors"), cut)
