@@ -80,3 +80,19 @@ def test_empty_tables(spark):
     docs, benchmark = spark.createDataFrame([(1, "some words")], "doc_id long, text string"), spark.createDataFrame([(1, "some words here and there")], "item_id long, text string")
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
+
+
+def test_copies_among_other_benchmark_words_are_found_whatever_the_cosine(spark):
+    rnd = random.Random(8)
+    words = [f"b{i}" for i in range(600)]
+    items = [[rnd.choice(words) for _ in range(rnd.choice([2, 4, 6, 9, 14, 40]))] for _ in range(300)]
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        around = [rnd.choice(words) for _ in range(300)]
+        at = rnd.randrange(len(around))
+        docs.append((k, " ".join(around[:at] + item + around[at:])))
+    for k, text in docs:
+        want |= {(k, i) for i, w in enumerate(items) if f" {' '.join(w)} " in f" {text} "}
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = decontaminate.find_leaks(table, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert {(r.id, r["item"]) for r in got.collect() if r.exact} == want

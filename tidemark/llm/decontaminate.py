@@ -2,8 +2,10 @@
 
 Passages of all documents are TF-IDF vectors over the benchmark's words.  A randomised SVD, whose sums over all
 passages are made by the executors, gives a latent space of ``rank`` dimensions; each benchmark item is compared by
-cosine with every window of its own length.  Windows that come near are candidates, which count as leaks if the
-longest common subsequence of words says so, alone or together with the item's answer (its last sentence).
+cosine with every window of its own length.  Windows that come near are candidates, and so is, whatever its cosine,
+each place where a few successive words of an item occur (all words of shorter items), so that no copy of an item is
+lost among other benchmark words.  Candidates count as leaks if the longest common subsequence of words says so, alone
+or together with the item's answer (its last sentence).
 
 Words are encoded once, as numbers of benchmark words, in a written table that all later passes read.
 """
@@ -26,6 +28,9 @@ _BLOCK = 16  # words; windows begin at multiples of it
 _SIZES = (3, 5)  # blocks of a window, the smallest that holds the item wherever it begins; longer items have their own
 _SLICE = 512  # features whose sums travel together
 _CHUNK = 1 << 13  # words whose vectors are made at a time; they fit a core's cache
+_ANCHOR = 4  # successive words of an item that make a place a candidate
+_RANK = 96  # dimensions of the latent space at least; a larger block of items has one for each eight
+_SEEN = 20  # bits of an anchor's key that are looked up first
 
 
 @dataclass(frozen=True)
@@ -206,8 +211,10 @@ def latent_table(encoded: DataFrame, items: Items, idf: np.ndarray, rank: int) -
     for words in items.words:
         project(np.array(words, "<i4"), own, sketch, idf)
     weight = max(corpus[:, -1].sum() / max(own[:, -1].sum(), 1e-12), 1e-9)
-    product = corpus[:, :-1] + weight * own[:, :-1]
+    product = corpus[:, :-1]
+    product += weight * own[:, :-1]
     core = random.T @ product
+    del own, random, sketch
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > values[-1] * 1e-10
     v, s, _ = np.linalg.svd(product @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
@@ -230,8 +237,60 @@ def _segments(texts: list[np.ndarray], overlap: int):
         yield group
 
 
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of each ``n`` successive words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n):
+        out = (out + words[j : j + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _anchors(items: Items) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(words, first bits seen, sorted keys, their items, their places in the item)`` by the number of words."""
+    found: dict[int, list] = {}
+    for item, words in enumerate(items.words):
+        keys = _grams(np.array(words), n := min(_ANCHOR, len(words)))
+        found.setdefault(n, []).append((keys, np.full(len(keys), item), np.arange(len(keys))))
+    out = []
+    for n, parts in sorted(found.items()):
+        keys, item, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        seen = np.zeros(1 << _SEEN, bool)
+        seen[keys >> np.uint64(64 - _SEEN)] = True
+        out.append((n, seen, keys[order], item[order], place[order]))
+    return out
+
+
+def _anchored(texts: list[np.ndarray], items: Items, anchors: list):
+    """``(text, item, first word, end)`` of windows that hold an anchor, once each.
+
+    Texts are read end to end; an anchor that reaches from one text into the next is only one more candidate.
+    """
+    if not texts:
+        return
+    base = np.cumsum([0, *map(len, texts)])
+    words, blocks = np.concatenate(texts), np.array(items.blocks)
+    for s in range(0, len(words), _CHUNK):
+        part, found = words[s : s + _CHUNK + _ANCHOR - 1], []
+        for n, seen, keys, item, place in anchors:
+            grams = _grams(part, n)[:_CHUNK]
+            at = np.flatnonzero(seen[grams >> np.uint64(64 - _SEEN)])
+            low = np.searchsorted(keys, grams[at])
+            many = np.searchsorted(keys, grams[at], "right") - low
+            if not many.sum():
+                continue
+            entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at = np.repeat(at, many) + s
+            text = np.searchsorted(base, at, "right") - 1
+            first = np.maximum(at - base[text] - place[entry], 0) // _BLOCK * _BLOCK
+            found.append(np.stack([text, item[entry], first]))
+        if found:
+            text, item, first = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield from zip(text.tolist(), item.tolist(), first.tolist(), (first + blocks[item] * _BLOCK).tolist(), strict=True)
+
+
 def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast((table, items))  # one block of the benchmark
+    shared = encoded.sparkSession.sparkContext.broadcast((table, items, _anchors(items)))  # one block of the benchmark
 
     def sizes(items: Items, table: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
         out = []
@@ -266,7 +325,7 @@ def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits)
                     yield k, int(pick[j]), float(near[i, j] / norm[i]), at, at + int(last[i] - first[i]) * _BLOCK
 
     def run(batches):
-        table, items = shared.value
+        table, items, anchors = shared.value
         kinds = sizes(items, table)
         item_type = pa.array(items.ids).type
         names = ["id", "k1", "k2", "item", "cosine", "lcs", "answer", "start", "exact"]
@@ -276,6 +335,8 @@ def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits)
             best: dict[tuple[int, int], tuple] = {}
             for k, item, cosine, start, end in candidates(texts, kinds, table):
                 _judge(best, items, k, item, cosine, texts[k], start, end, limits)
+            for k, item, start, end in _anchored(texts, items, anchors):
+                _judge(best, items, k, item, None, texts[k], start, end, limits, table)
             if best:
                 keys = sorted(best)
                 found = [(items.ids[item], best[k, item][1], best[k, item][0], *best[k, item][2:]) for k, item in keys]
@@ -286,8 +347,8 @@ def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits)
     return encoded.mapInArrow(run, f"id {encoded.dtypes[0][1]}, k1 long, k2 long, item {kind}, cosine double, lcs double, answer double, start long, exact boolean")
 
 
-def _judge(best: dict[tuple[int, int], tuple], items: Items, text: int, item: int, cosine: float, words: np.ndarray, start: int, end: int, limits: Limits) -> None:
-    """Verifies a candidate window and keeps the item's best one of the text."""
+def _judge(best: dict[tuple[int, int], tuple], items: Items, text: int, item: int, cosine: float | None, words: np.ndarray, start: int, end: int, limits: Limits, table: np.ndarray | None = None) -> None:
+    """Verifies a candidate window and keeps the item's best one of the text; a cosine not given is that by ``table``."""
     own, key = items.words[item], (text, item)
     if key in best and best[key][0] == 1.0 and best[key][4]:
         return
@@ -299,16 +360,21 @@ def _judge(best: dict[tuple[int, int], tuple], items: Items, text: int, item: in
     exact = lcs == 1.0 and any(region[k : k + len(own)] == own for k in range(len(region) - len(own) + 1))
     answer = common_subsequence(items.answers[item], region) / len(items.answers[item])
     leak = exact if len(own) < limits.least_words else lcs >= limits.lcs or lcs >= limits.lcs_with_answer and answer >= limits.answer
+    if leak and cosine is None:
+        at = words[start:end]
+        window, side = table[at[at >= 0]].sum(axis=0), table[own].sum(axis=0)
+        cosine = float(window @ side / max(np.linalg.norm(window) * np.linalg.norm(side), 1e-12))
     if leak and (key not in best or (lcs, exact, cosine) > (best[key][0], best[key][4], best[key][1])):
         best[key] = (lcs, cosine, answer, start, exact)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, limits: Limits | None = None, items_at_once: int = 2048) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int | None = None, limits: Limits | None = None, items_at_once: int = 2048) -> DataFrame:
     """``(id, k1, k2, item, cosine, lcs, answer, start, exact)``: the leaks of each row, one for each item that it holds.
 
     k1 and k2 are hashes of the row's text.  Null texts have no words; items without words (null ones too) leak
     nowhere; repeated rows and items are judged each; further columns are ignored; empty tables give no rows.  The
-    benchmark is taken in blocks of ``items_at_once``, so what is broadcast is bounded whatever its size.
+    benchmark is taken in blocks of ``items_at_once``, so what is broadcast is bounded whatever its size.  The latent space has
+    ``rank`` dimensions; if none are given, their number grows with the items of a block.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "decontaminate")
@@ -324,7 +390,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         encoded = ws.table(_encode(docs, id_col, text_col, items), f"words-{k}", compression="zstd")
         df, passages = document_frequency(encoded, len(items.vocabulary))
         idf = np.log((1 + passages) / (1 + df)) + 0.05
-        leaks = ws.table(_leaks(encoded, items, latent_table(encoded, items, idf, rank), limits), f"leaks-{k}")
+        leaks = ws.table(_leaks(encoded, items, latent_table(encoded, items, idf, rank or max(_RANK, len(items.ids) // 8)), limits), f"leaks-{k}")
         ws.drop(f"words-{k}")
         found = leaks if found is None else found.union(leaks)
     if found is None:
