@@ -116,3 +116,14 @@ def test_engine_remembers_and_keeps_facts(spark, tmp_path):
     assert e.read_graph(e.store.read("graphs"), "A").count() == 1
     with pytest.raises(ValueError, match="blueprint"):
         e.write_graphs(spark.createDataFrame([(2, "{}")], "doc_id long, json string"))
+
+
+def test_histories_are_followed_to_the_end_whatever_the_depth(spark):
+    chain = [(i, i - 1 if i > 1 else None) for i in range(1, 1301)]
+    others = [(2000, 2001), (2001, 2002), (2002, 2000), (3000, 3001), (4000, None)]  # a cycle, a missing revision, a single one
+    revisions = spark.createDataFrame(chain + others, "id long, supersedes long")
+    assert [(r.id, r.step) for r in facts.history(revisions, 1300).collect()] == [(1300 - k, k) for k in range(1300)]
+    assert [r.id for r in facts.history(revisions, 2001).collect()] == [2001, 2002, 2000]
+    assert facts.history(revisions, 9).count() == 9 and facts.history(revisions, 9999).count() == 0
+    got = {(r.head, r.id, r.step) for r in facts.histories(revisions).collect()}
+    assert got == {(1300, 1300 - k, k) for k in range(1300)} | {(3000, 3000, 0), (4000, 4000, 0)}

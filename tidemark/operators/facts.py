@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.common import checkpointed
+
 KEY = ["entity", "attribute"]
 
 
@@ -34,17 +36,34 @@ def by_prefix(facts: DataFrame, prefix: str = "", limit: int = 32) -> DataFrame:
     return rows.limit(0) if limit == 0 else rows.orderBy("entity", "attribute", "id") if limit < 0 else rows.orderBy("entity", "attribute", "id").limit(limit)
 
 
-def history(revisions: DataFrame, id_: int, depth: int = 1000) -> DataFrame:
-    """The revisions of a fact from the newest on, along ``supersedes``."""
-    spark = revisions.sparkSession
-    revisions.select("id", "supersedes").createOrReplaceTempView("_tidemark_revisions")
-    chain = spark.sql(f"""
-        WITH RECURSIVE chain(id, supersedes, step) AS (
-          SELECT id, supersedes, 0 FROM _tidemark_revisions WHERE id = {int(id_)}
-          UNION ALL
-          SELECT r.id, r.supersedes, c.step + 1 FROM chain c JOIN _tidemark_revisions r ON r.id = c.supersedes WHERE c.step < {depth})
-        SELECT id, step FROM chain""")
-    return revisions.join(chain, "id").orderBy("step")
+def histories(revisions: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``(head, id, step)``: the revisions of each fact in ``heads(id)`` along ``supersedes``, the head itself at step 0.
+
+    Without ``heads``, all revisions that none supersedes.  Each round doubles the length of the paths that are followed,
+    whatever the depth; a cycle ends where it comes back to a revision, a chain before one that is not there.  Rounds are
+    checkpointed, so the plan stays short.
+    """
+    ids = revisions.select("id").distinct()
+    links = revisions.filter("supersedes is not null").select("id", F.col("supersedes").alias("to")).distinct()
+    if heads is None:
+        heads = ids.join(links.select(F.col("to").alias("id")), "id", "left_anti")
+    jump = links.join(ids.withColumnRenamed("id", "to"), "to", "left_semi").select("id", "to")
+    paths, held, hops = heads.select("id").distinct().join(ids, "id", "left_semi").select(F.col("id").alias("head"), "id", F.lit(0).alias("step")), -1, 1
+    while True:
+        paths = checkpointed(paths)
+        if (n := paths.count()) == held:
+            return paths
+        held, jump = n, checkpointed(jump)
+        further = paths.join(jump, "id").select("head", F.col("to").alias("id"), (F.col("step") + hops).alias("step"))
+        paths = paths.union(further).groupBy("head", "id").agg(F.min("step").alias("step"))
+        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")).distinct()
+        hops *= 2
+
+
+def history(revisions: DataFrame, id_: int) -> DataFrame:
+    """The revisions of a fact from the newest on, along ``supersedes`` to the end."""
+    head = revisions.filter(F.col("id") == int(id_)).select("id")
+    return revisions.join(histories(revisions, head).select("id", "step"), "id").orderBy("step")
 
 
 def set_pinned(facts: DataFrame, ids: list[int], pinned: bool = True) -> DataFrame:

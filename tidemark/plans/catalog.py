@@ -485,6 +485,12 @@ def fact_history(spark, d):
     return facts.history(revisions, newest).select("id", "step")
 
 
+@query(f"WITH RECURSIVE r AS ({_REVISIONS}), chain AS (SELECT id AS head, id, supersedes, 0 AS step FROM r WHERE id NOT IN (SELECT supersedes FROM r WHERE supersedes IS NOT NULL) UNION ALL SELECT chain.head, r.id, r.supersedes, step + 1 FROM chain JOIN r ON r.id = chain.supersedes) SELECT head, id, step FROM chain")
+def fact_histories(spark, d):
+    e = T.read(spark, d, "events")
+    return facts.histories(e.select(F.col("event_id").alias("id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("supersedes")))
+
+
 # ---- store
 
 MUTATIONS = """puts AS (SELECT event_id AS frame_id, props AS text FROM events), gone AS (SELECT DISTINCT event_id // 2 AS frame_id FROM events WHERE event_id % 7 = 3),
