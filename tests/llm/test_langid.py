@@ -37,3 +37,10 @@ def test_nothing_to_learn_from(spark):
 
 def test_families_and_pairs(model):
     assert set(model.families) == {"germanic", "romance"} and set(model.pairs) == {("de", "en"), ("es", "fr")}
+
+
+def test_only_letters_count_above_the_first_plane_too():
+    assert langid.features("\U0001F600\U0001F680 \U0001F600 123") is None
+    assert langid.features("\U00010400\U00010428") is not None and langid.features("\U00020000") is not None
+    plain, mixed = langid.features("some words here"), langid.features("some \U0001F600 words \U0001F680 here")
+    assert all((a == b).all() for a, b in zip(plain, mixed, strict=True))

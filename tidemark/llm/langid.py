@@ -47,7 +47,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     counts, letters, text = np.zeros(DIM), 0, text or ""
     for k in range(0, len(text), _BLOCK):
         codes = np.frombuffer(f" {text[k : k + _BLOCK].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        alpha = np.where(codes < 1 << 16, _LETTER[np.minimum(codes, (1 << 16) - 1)], codes >= 1 << 16)
+        alpha = _LETTER[np.minimum(codes, (1 << 16) - 1)]
+        high = np.flatnonzero(codes >= 1 << 16)
+        if len(high):
+            kinds, of = np.unique(codes[high], return_inverse=True)
+            alpha[high] = np.array([chr(c).isalpha() for c in kinds.tolist()])[of]
         letters += int(alpha.sum())
         codes = np.where(alpha, codes, 0)
         codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.uint32)
