@@ -44,3 +44,8 @@ def test_query_on_generated_pages(spark, tmp_path):
 def test_tree_fits_its_table():
     rows, labels = html_text.labelled_table()
     assert (html_text.trained_tree().predict(rows) == labels).mean() > 0.99
+
+
+def test_formulas_and_fallback_text_of_objects_stay():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data=a.pdf><p>Read the report here.</p></object></article>"
+    assert html_text.main_text(page) == "Let x=2 hold. Read the report here."

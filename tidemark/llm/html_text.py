@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 #: Elements by what they do to the text around them.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-SKIP = frozenset("head template noscript svg math object canvas audio video select datalist button form nav footer aside dialog menu map".split())
+SKIP = frozenset("head template noscript svg canvas audio video select datalist button form nav footer aside dialog menu map".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag may be missing close those of the same set within the nearest list or table.
