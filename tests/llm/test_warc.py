@@ -50,3 +50,10 @@ def test_plain_and_foreign_archives():
     for raw in (record * 3, gzip.compress(record) * 3, gzip.compress(record * 3)):
         got = list(warc.read_records(io.BytesIO(raw), chunk=3))
         assert [x[2] for x in got] == [b"bod", b"y"] * 3 and [x[5] for x in got] == [False, True] * 3
+
+
+def test_each_chunk_carries_the_digest_so_far():
+    body = b"abcdefgh"
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    got = list(warc.read_records(io.BytesIO(record), chunk=3))
+    assert [x[4] for x in got] == [base64.b32encode(hashlib.sha1(body[:n]).digest()).decode() for n in (3, 6, 8)]

@@ -150,8 +150,8 @@ class _Members:
         return self.take(at + 1).rstrip(b"\r\n")
 
 
-def read_records(source: BufferedReader, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, bytes, int, str | None, bool]]:
-    """``(headers, chunk number, data, payload bytes so far, digest at the end, is last)`` of each record's payload.
+def read_records(source: BufferedReader, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, bytes, int, str, bool]]:
+    """``(headers, chunk number, data, payload bytes so far, digest so far, is last)`` of each record's payload.
 
     The HTTP head of a response is no part of its payload; a record without payload gives one empty chunk.
     """
@@ -179,7 +179,7 @@ def read_records(source: BufferedReader, chunk: int = CHUNK) -> Iterator[tuple[d
                 raise ValueError("an archive ends within a record")
             so_far += len(part)
             sha.update(part)
-            yield headers, number, part, so_far, base32_sha1(sha.digest()) if not left else None, not left
+            yield headers, number, part, so_far, base32_sha1(sha.digest()), not left
             number += 1
             if not left:
                 break
@@ -190,7 +190,7 @@ def read_chunks(spark: SparkSession, files: DataFrame, chunk: int = CHUNK, with_
     """The chunked record table of the archives named in ``files(file)``.
 
     One row per payload chunk: ``(file, record_id, record_key, record_type, url, refers_to, chunk, is_last, payload_bytes,
-    payload_digest, data)``; the byte count is that up to and with this chunk.  The digest comes with the last chunk;
+    payload_digest, data)``; the byte count and the digest are those up to and with this chunk;
     of a revisit, bytes and digest are those of the payload that it stands for.
     """
     names = ["file", "record_id", "record_key", "record_type", "url", "refers_to", "chunk", "is_last", "payload_bytes", "payload_digest", "data"]
