@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -72,3 +73,16 @@ def test_each_stage_against_brute_force(spark, corpus, tmp_path):
 def test_run_gives_the_rows_of_the_last_stage(spark, corpus):
     got = corpus_pipeline.run(spark, corpus)
     assert got.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 50
+
+
+def test_stages_on_an_empty_table_and_clashing_columns(spark, corpus, tmp_path):
+    odd = "lang_pred", "lang_score", "k1", "h1", "kept", "key", "row"
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    named = docs.limit(0).select("*", *[F.lit("own").alias(c) for c in odd])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, named, corpus).count() == 0
+    few = docs.filter("doc_id < 12").select("*", *[F.lit("own").alias(c) for c in odd])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        few = spark.createDataFrame(stage(spark, few, corpus).collect(), few.schema)
+        assert few.count() and all(r[c] == "own" for r in few.collect() for c in odd)
+    assert corpus_pipeline.pack(spark, few, corpus).count()

@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import substring
+from tidemark.llm.common import Workspace
 from tidemark.llm.queries import QUERIES
 
 
@@ -54,12 +57,45 @@ def test_batches_of_the_log_agree_and_texts_are_cut(spark):
     assert substring.without_repeats(docs.limit(0)).count() == 0
 
 
-def test_runs_are_sorted_and_hits_span_batches(spark, tmp_path):
-    log = substring.FingerprintLog(spark, str(tmp_path / "log"), compact_at=3)
-    table = lambda *h: spark.createDataFrame([(x,) for x in h], "hash long")
-    hits = []
-    for batch in ((5, 3, 9, 9), (3, 4), (4, 8, 1), (1, 2)):
-        hits.append(sorted(r.hash for r in log.hits(table(*batch)).collect()))
-        log.add(table(*batch))
-    assert hits == [[9], [3], [4], [1]] and sorted(r.hash for r in log.repeated().collect()) == [1, 3, 4, 9]
-    assert len(log.runs) == 1
+def test_log_against_counting_and_reopened(spark, tmp_path):
+    ws = Workspace(spark, "test")
+    path, seen, hits, want = f"file://{tmp_path}/log", set(), [], []
+    for k, batch in enumerate(((5, 3, 9, 9), (3, 4), (4, 8, 1), (1, 2), (), (2, 3, 3))):
+        log = substring.FingerprintLog(spark, path, buckets=3)
+        hits.append(sorted(r.hash for r in log.add(spark.createDataFrame([(x,) for x in batch], "hash long"), ws).collect()))
+        want.append(sorted({x for x in batch if x in seen or batch.count(x) > 1}))
+        seen.update(batch)
+        assert [level for _, level in log.runs] == [[0], [1], [1, 0], [2], [2, 0], [2, 1]][k]
+        log.close()
+    assert hits == want
+    log = substring.FingerprintLog(spark, path)
+    rows = [(r.hash, r.n) for name, _ in log.runs for r in log._read(name).collect()]
+    assert log.buckets == 3 and sum(n for _, n in rows) == 14 and {h for h, _ in rows} == seen
+    log.close()
+    ws.close()
+
+
+def test_runs_meet_without_shuffle_or_sort(spark, tmp_path):
+    ws = Workspace(spark, "test")
+    log = substring.FingerprintLog(spark, f"file://{tmp_path}/log", buckets=4)
+    a, b = (log._read(log._run(spark.range(n, 30_000 + n).selectExpr("xxhash64(id) as hash").groupBy("hash").agg(F.count("*").alias("n")))) for n in (0, 100))
+    with log._sorted():
+        plan = a.join(b.hint("merge"), "hash")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    log.close()
+    ws.close()
+
+
+def test_batch_after_batch_against_brute_force(spark, tmp_path):
+    texts = corpus()
+    rnd = random.Random(2)
+    rnd.shuffle(texts)
+    shares = [texts[:9], texts[9:20], [], texts[20:]]
+    before = []
+    for share in shares:
+        index = substring.PassageIndex(spark, f"file://{tmp_path}/index", buckets=4)  # opened anew for each batch
+        docs = spark.createDataFrame(list(enumerate(share)), "doc_id long, text string")
+        got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_report(index.add(docs)).collect()}
+        before += share
+        assert got == {i: x[:3] for i, x in enumerate(brute(before)[len(before) - len(share) :])}
+        index.close()

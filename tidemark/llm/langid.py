@@ -12,10 +12,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import fresh
+
 DIM = 1 << 14
 UNKNOWN = "und"
 _BLOCK = 1 << 20
@@ -128,13 +130,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600) -> Model:
-    """Learns from about ``per_language`` rows of each label (all, if fewer), taken by a hash of the id, held-out rows and null labels left out."""
+    """Learns from ``per_language`` rows of each label (all, if fewer), those whose ids have the smallest hashes.
+
+    Held-out rows and null ids and labels are left out; repeated rows count each but never exceed that bound; an empty
+    table gives a model that knows nothing.  What the driver holds is bounded by ``per_language`` and the labels.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], [])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, per_language / n) * 1_000_000)))])
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    # far fewer than per_language of them are below 2 * per_language / n only by a chance that can be left aside
+    bound = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / n + 1e-15)))])
+    place = F.xxhash64(F.lit(11), "id") / F.lit(2.0**64) + F.lit(0.5)
+    near = rows.withColumn("place", place).filter(F.col("place") <= bound[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text")))
+    picked = near.withColumn("n", first).filter(F.col("n") <= per_language).select("text", "lang")
 
     def run(batches):
         for batch in batches:
@@ -147,19 +157,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for _, a, v in got], [lang for lang, _, _ in got])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's columns and ``lang_pred``, ``lang_score`` (0 to 1); input columns of these two names are replaced.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The input's columns and two of the given names: the language, and how sure that is (0 to 1).
 
-    Texts without letters, and null ones, get ``und`` and 0, as does everything if nothing could be learned.
+    Input columns of these two names are replaced.  Texts without letters, empty and null ones get ``und`` and 0, as
+    does everything if nothing could be learned; rows are independent of each other; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the languages' pairs
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in names]
     at = [f.name for f in kept].index(text_col)
 
     def run(batches):
         own = shared.value
         for batch in batches:
             got = [own.predict(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, *names])
+
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The input's rows for whose text a language is found; columns of any names pass through."""
+    names = tuple(fresh(docs, "lang_pred", "lang_score"))
+    return identify(docs, model, text_col, names).filter(F.col(names[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

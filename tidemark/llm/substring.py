@@ -4,15 +4,17 @@ A window is ``window`` consecutive words.  Each is filed under its anchor, the s
 ``_GRAM``-word runs inside it.  Equal windows have equal anchors wherever they stand, and neighbouring windows mostly
 share theirs, so the index holds about one hash for every 13 words instead of one for each.
 
-The index is a log of immutable runs, each a table of ``(hash, n)`` sorted by hash.  A new batch is sorted likewise
-and merge-joined with the runs; hashes met before, or twice in the batch, are hits; the batch then becomes a run of
-its own, and runs are compacted into one.  Windows whose anchor was hit are verified by a 128-bit digest of
+The index is a log of immutable runs, each a table of ``(hash, n)`` sorted by hash.  A new batch becomes such a run and
+is merge-joined with the others; hashes met before, or twice in the batch, are hits; runs of one level are then
+compacted into one of the next.  Windows whose anchor was hit are verified by a 128-bit digest of
 their whole word sequence, which is counted over all texts; only words under windows counted twice are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from itertools import accumulate, compress
 
 import numpy as np
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, fresh, small_batches, width
+from tidemark.llm.common import Workspace, delete_path, fresh, settings, width
 
 _GRAM = 10
 _SEED = 77
@@ -82,46 +84,91 @@ def anchor_list(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class FingerprintLog:
-    """The runs of an index, each a Parquet table of ``(hash, n)`` sorted by hash; kept in a folder of the caller's."""
+    """A log-structured index of hashes in a folder that outlives the process.
 
-    def __init__(self, spark: SparkSession, path: str, compact_at: int = 4):
-        self.spark, self.path, self.compact_at, self.runs, self.made = spark, path, compact_at, [], 0
+    A run is an immutable table of ``(hash, n)``, hashed to ``buckets`` files each sorted by hash, so runs meet in
+    merge joins that neither shuffle nor sort.  A batch becomes a run of level 0; two runs of one level are merged into
+    one of the next, so few runs are left however many batches came.  A manifest names the runs that count; it is
+    replaced by renaming, so a broken ``add`` leaves the log as it was and can be repeated.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        fs, folder = self._fs()
+        versions = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("manifest-")) if fs.exists(folder) else []
+        if versions:
+            state = json.loads(spark.read.text(f"{path}/{versions[-1]}", wholetext=True).first()[0])
+        else:
+            state = {"buckets": buckets or width(spark), "runs": [], "made": 0, "batches": 0}
+        self.buckets, self.made, self.batches = state["buckets"], state["made"], state["batches"]
+        self.runs: list[tuple[str, int]] = [tuple(r) for r in state["runs"]]
+        self.tables: dict[str, str] = {}
+
+    def _fs(self):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _commit(self) -> None:
+        fs, _ = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        name = f"{self.path}/manifest-{self.made:06d}.json"
+        out = fs.create(path(name + ".tmp"), True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs, "made": self.made, "batches": self.batches}).encode()))
+        out.close()
+        fs.delete(path(name), False)
+        if not fs.rename(path(name + ".tmp"), path(name)):
+            raise OSError(f"cannot rename {name}")
+        for f in fs.listStatus(path(self.path)):
+            old = f.getPath().getName()
+            if old.startswith("manifest-") and old < f"manifest-{self.made:06d}" or old.startswith("run-") and old not in dict(self.runs):
+                fs.delete(f.getPath(), True)
 
     def _run(self, rows: DataFrame) -> str:
-        name = f"{self.path}/run-{self.made:05d}"
-        self.made += 1
-        rows.repartitionByRange(width(self.spark), "hash").sortWithinPartitions("hash").write.parquet(name)
+        name, self.made = f"run-{self.made:06d}", self.made + 1
+        delete_path(self.spark, f"{self.path}/{name}")
+        self.tables[name] = f"tidemark_{uuid.uuid4().hex}"
+        with self._sorted():
+            rows.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(self.tables[name])
         return name
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema("hash long, n long").parquet(name)
-
-    def add(self, hashes: DataFrame) -> None:
-        """Appends a batch of ``(hash)`` rows, repeats included, as a sorted run; compacts when runs are many."""
-        self.runs.append(self._run(hashes.groupBy("hash").agg(F.count("*").alias("n"))))
-        if len(self.runs) >= self.compact_at:
-            self.compact()
+    def _sorted(self):
+        """Each bucket is one sorted file, and Spark may rely on it."""
+        return settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__sources__bucketing__autoBucketedScan__enabled="false")
 
-    def hits(self, hashes: DataFrame) -> DataFrame:
-        """Hashes of a new batch that the runs hold, or that the batch itself holds twice (asked before ``add``)."""
-        batch = hashes.groupBy("hash").agg(F.count("*").alias("n"))
+    def _read(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            self.tables[name] = f"tidemark_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} (hash BIGINT, n BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self.tables[name])
+
+    def add(self, hashes: DataFrame, ws: Workspace) -> DataFrame:
+        """Appends a batch of ``(hash)`` rows, repeats included; returns those of its hashes that the log or the batch held before."""
+        counted = hashes.groupBy("hash").agg(F.count("*").alias("n"))  # summed before the shuffle, so a hot hash is one row a task
+        new = self._run(counted if self.buckets == width(self.spark) else counted.repartition(self.buckets, "hash"))
+        batch = self._read(new)
         found = batch.filter("n > 1").select("hash")
-        for name in self.runs:
+        for name, _ in self.runs:
             found = found.union(batch.select("hash").join(self._read(name).select("hash").hint("merge"), "hash"))
-        return found.distinct()
-
-    def compact(self) -> None:
-        """Merges all runs into one."""
-        if len(self.runs) > 1:
-            rows = self._read(self.runs[0])
-            for name in self.runs[1:]:
-                rows = rows.union(self._read(name))
-            self.runs = [self._run(rows.groupBy("hash").agg(F.sum("n").alias("n")))]
-
-    def repeated(self) -> DataFrame:
-        """All hashes that the index holds more than once."""
-        self.compact()
-        return self._read(self.runs[0]).filter("n > 1").select("hash")
+        with self._sorted():
+            hits = ws.table(found.distinct(), f"hits-{new}")
+        self.runs.append((new, 0))
+        while len(self.runs) > 1 and self.runs[-1][1] == self.runs[-2][1]:
+            self._merge_last()
+        self.batches += 1
+        self._commit()
+        return hits
+
+    def _merge_last(self) -> None:
+        (low, level), (high, _) = self.runs[-2:]
+        a, b = self._read(low).alias("a"), self._read(high).alias("b").hint("merge")
+        both = a.join(b, F.col("a.hash") == F.col("b.hash"), "full_outer")
+        self.runs[-2:] = [(self._run(both.select(F.coalesce("a.hash", "b.hash").alias("hash"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))), level + 1)]
+
+    def close(self) -> None:
+        """Takes the runs out of the session's catalogue; the files stay."""
+        for table in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -218,46 +265,80 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
 
 
 class Repeats:
-    """What ``find_repeats`` leaves: ``marks`` has a row for each input row, ``cut`` one for each text that loses words."""
+    """What a search leaves: ``marks`` has a row for each input row, ``cut`` one for each text that loses words."""
 
     def __init__(self, marks: DataFrame, cut: DataFrame):
         self.marks, self.cut = marks, cut
 
 
+def _verified(ws: Workspace, marks: DataFrame, sources: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+    """``(k1, k2, n_removed, kept)`` of the texts of rows marked ``own`` that lose words.
+
+    Texts with a hit anchor are fetched once; their windows are counted by digest over all rows of ``marks``.
+    """
+    copies = marks.filter(F.col("n_words") >= window).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max("own").alias("own"))
+    held = marks.filter(F.size("anchors") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode(F.array_distinct("anchors")).alias("hash"))
+    flagged = held.join(hits, "hash").groupBy("k1", "k2").agg(F.collect_list("hash").alias("hit")).join(copies, ["k1", "k2"])
+    texts = ws.table(sources.join(flagged, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "copies", "hit", "own"), "texts", small=True, compression="zstd")
+    seen = lambda rows: _windows(rows.drop("own"), window)  # noqa: E731  made twice, which takes less than to keep a row for every window
+    # written, so that both sides of the join are plain exchanges and a passage that many texts share can be split
+    twice = ws.table(seen(texts).groupBy("d1", "d2").agg(F.sum("copies").alias("n")).filter("n > 1").select("d1", "d2"), "twice", small=True, compression="zstd")
+    starts = ws.table(seen(texts.filter("own")).join(twice, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts")), "starts", small=True, compression="zstd")
+    ws.drop("twice")
+    cut = ws.table(_kept(texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]), window), "cut", small=True, compression="zstd")
+    ws.drop("texts", "starts")
+    return cut
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, batches: int = 2) -> Repeats:
     """Finds the words under windows whose word sequence starts anywhere else too, same row included.
 
-    The rows enter the index in ``batches`` batches, by a hash of their text.  Null texts have no words; texts of fewer
-    words than a window lose none; repeated rows are copies of each other; null ids and further columns change nothing.
+    The rows enter a fingerprint log of their own in ``batches`` batches, by a hash of their text; the log is merged as
+    it grows and deleted at the end (``PassageIndex`` keeps it).  Null texts have no words; texts of fewer words than a
+    window lose none; repeated rows are copies of each other; null ids and further columns change nothing; an empty
+    table gives no rows.
     """
-    spark, n = docs.sparkSession, batches
-    small_batches(spark)
+    spark = docs.sparkSession
     ws = Workspace(spark, "substring")
-    marks = ws.table(_marked(docs, id_col, text_col, window), "marks", compression="zstd")
+    ws.tidy()  # what earlier steps have left
+    marks = ws.table(_marked(docs, id_col, text_col, window), "marks", small=True, compression="zstd")
     log, hits = FingerprintLog(spark, f"{ws.path}/index"), None
-    for k in range(n):
-        batch = marks.filter(F.pmod("k1", F.lit(n)) == k).select(F.explode("anchors").alias("hash"))
-        new = ws.table(log.hits(batch), f"hits-{k}")
+    for k in range(batches):
+        new = log.add(marks.filter(F.pmod("k1", F.lit(batches)) == k).select(F.explode("anchors").alias("hash")), ws)
         hits = new if hits is None else hits.union(new)
-        log.add(batch)
-    hit = hits.distinct()
-    copies = marks.filter("n_words >= %d" % window).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    held = marks.filter(F.size("anchors") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode(F.array_distinct("anchors")).alias("hash"))
-    flagged = held.join(hit, "hash").groupBy("k1", "k2").agg(F.collect_list("hash").alias("hit")).join(copies, ["k1", "k2"])
-    texts = ws.table(_first_copies(docs, text_col).join(flagged, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "copies", "hit"), "texts", compression="zstd")
+    log.close()
     ws.drop("index")
-    for k in range(n):
-        ws.drop(f"hits-{k}")
-    ws.tidy()  # the texts' shuffle is the largest, and over
-    seen = _windows(texts, window)  # made twice, which takes less than to keep a row for every window
-    # written, so that both sides of the join are plain exchanges and a passage that many texts share can be split
-    twice = ws.table(seen.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).filter("n > 1").select("d1", "d2"), "twice", compression="zstd")
-    ws.tidy()
-    starts = seen.join(twice, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))
-    cut = ws.table(_kept(texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]), window), "cut", compression="zstd")
+    cut = _verified(ws, marks.withColumn("own", F.lit(True)), _first_copies(docs, text_col), hits.distinct(), window)
     return Repeats(marks.drop("anchors"), cut)
 
 
+class PassageIndex:
+    """Incremental removal of repeats: a kept fingerprint log, and the texts it was made of, in one folder.
+
+    ``add`` judges a batch against everything added before and against itself, then files it; earlier batches stay as
+    they were given out.  A batch whose ``add`` broke off can be added again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = 35, buckets: int | None = None):
+        self.spark, self.path, self.window = spark, path.rstrip("/"), window
+        self.log = FingerprintLog(spark, f"{self.path}/log", buckets)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
+        """The batch's words under windows that start elsewhere in it or in an earlier batch; edge cases as in ``find_repeats``."""
+        ws, n = Workspace(self.spark, "passages"), self.log.batches
+        marks = ws.table(_marked(docs, id_col, text_col, self.window), "marks", small=True, compression="zstd")
+        marks.select("k1", "k2", "n_words", "anchors").write.mode("overwrite").parquet(f"{self.path}/marks/batch={n}")
+        _first_copies(docs, text_col).write.mode("overwrite").parquet(f"{self.path}/texts/batch={n}")
+        hits = self.log.add(marks.select(F.explode("anchors").alias("hash")), ws)
+        every = self.spark.read.schema("k1 long, k2 long, n_words long, anchors array<long>, batch int").parquet(f"{self.path}/marks").filter(F.col("batch") <= n)
+        texts = self.spark.read.schema("k1 long, k2 long, text binary, batch int").parquet(f"{self.path}/texts").filter(F.col("batch") <= n).drop("batch")
+        cut = _verified(ws, every.withColumn("own", F.col("batch") == n), texts, hits, self.window)
+        return Repeats(marks.drop("anchors"), cut)
+
+    def close(self) -> None:
+        self.log.close()
+
+
 def removal_report(found: Repeats) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256)``, one row per input row."""
     cut = found.cut.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
@@ -265,7 +346,10 @@ def removal_report(found: Repeats) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, batches: int = 2) -> DataFrame:
-    """The input with the repeated words taken out of ``text_col``; texts that lose none stay as they are."""
+    """The input with the repeated words taken out of ``text_col``; texts that lose none stay as they are.
+
+    Edge cases as in ``find_repeats``: every row stays, null texts stay null, and columns of any names pass through.
+    """
     k1, k2, kept = fresh(docs, "k1", "k2", "kept")
     found = find_repeats(docs.select(F.lit(0).alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text", window, batches)
     text = F.col(f"`{text_col}`").cast("binary")
