@@ -1,5 +1,6 @@
 import html
 import random
+import time
 
 import pytest
 
@@ -16,6 +17,15 @@ PAGES = [
     ("<article><header><h1>Title</h1></header><p>Text</p><div class='ad'>Buy</div><div class=advert-box>Now</div></article>", "Title Text"),
     ("<article><p>Text</p><div class=sidebar><h3>Related</h3><p>More of it</p></div><section class='comments'><h2>2 comments</h2><p>Nice</p></section><p>End</p></article>", "Text End"),
     ("<div id=top>Welcome stranger, read on below</div><div class='post-content'><p>The post.</p><div class=post-footer>Filed under x</div></div><p>Some other line that stands outside of it all.</p>", "The post."),
+    ("<article><p title=it's>Hello there</p><p>It's fine and more</p></article>", "Hello there It's fine and more"),
+    ("<article><p>Intro.</p><div class=share-price><p>Up by ten</p></div><div class='social-history'><p>A past of its own</p></div></article>", "Intro. Up by ten A past of its own"),
+    ("<html><head><title>T</title><meta charset=x><p>The head was never closed, yet this is text.</p>", "The head was never closed, yet this is text."),
+    ("<article><p data-x='never closed>One two</p><p>three</p></article>", "One two three"),
+    ("<article><p>See <a href=x>the whole long linked sentence here</a></p><p>and this.</p></article>", "See the whole long linked sentence here and this."),
+    ("<form id=page><nav><a href=1>Home</a></nav><article><p>Text in a form that spans the page.</p><form>Search <input></form></article></form>", "Text in a form that spans the page."),
+    ("<article><p>a</p><![CDATA[ b ]]><p>c</p><!-->d<!---><p>e</p><!bogus><?php x ?></article>", "a c d e"),
+    ("<article><h1>T</h1><p>First words of the text.</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul></article>", "T First words of the text."),
+    ("<div class=post-footer>x</div><div class=site-header>y</div><article class='post content'><p>Text</p><div class='comments-area'>Nice one</div></article><div id=cookie_banner>We use cookies</div>", "Text"),
     ("<p>unclosed <b>bold <i>both", "unclosed bold both"), ("a < b and c > d", "a < b and c > d"),
 ]
 
@@ -49,3 +59,42 @@ def test_tree_fits_its_table():
 def test_formulas_and_fallback_text_of_objects_stay():
     page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data=a.pdf><p>Read the report here.</p></object></article>"
     assert html_text.main_text(page) == "Let x=2 hold. Read the report here."
+
+
+def test_no_depth_is_too_deep():
+    page = "<article>" + "<div>" * 2600 + "<aside>" + "<div>" * 4000 + "LEAK" + "</div>" * 4000 + "</aside>" + "</div>" * 2600 + "<p>Keep</p></article>"
+    assert html_text.main_text(page) == "Keep"
+
+
+BROKEN = ["<a b ", "<a b='", '<a b="', "<p x=y ", "</ ", "<i>", "<div><b>", "</div>", "<div></span>", "<b><div></i>", "<!--", "<!", "&", "<table><td>", "<a =", "<script>", "<p>x"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_a_megabyte_of_broken_markup_takes_little_time(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    html_text.main_text(page)
+    whole = time.process_time() - began
+    assert whole < 6
+    began = time.process_time()
+    html_text.main_text(page[: len(page) // 4])
+    assert whole < 12 * (time.process_time() - began) + 0.5  # in proportion, not its square
+
+
+def test_generated_pages_without_names(spark):
+    """Pages of bare boxes, with and without an article element, against what went into them."""
+    rnd, wrong, total = random.Random(4), 0, 0
+    words = lambda a, b: " ".join(rnd.choice(["sea", "über", "stone,", "of", "Ein", "winter.", "a&b"]) for _ in range(rnd.randint(a, b)))
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{k}'>{html.escape(words(1, 2))}</a>" for k in range(n)) + "</ul>"
+    for i in range(200):
+        marked = i % 2 == 0
+        want = [words(12, 90) for _ in range(rnd.randint(2, 7))]
+        if marked:
+            want.insert(1, words(1, 4))
+        inner = "".join(f"<p>{html.escape(p)}</p>" if k % 3 or not marked else f"<div><p>{html.escape(p[:5])}<i>{html.escape(p[5:])}</i></div>" for k, p in enumerate(want))
+        body = f"<article>{inner}</article>" if marked else f"<div><div>{inner}</div></div>"
+        outside = f"<div><p>{html.escape(words(4, 40))}</p></div>" if marked else links(rnd.randint(4, 9))
+        page = f"<body><div>{links(rnd.randint(3, 8))}</div>{body}<div>{links(rnd.randint(4, 9))}</div>{outside}"
+        wrong += html_text.main_text(page) != " ".join(want)
+        total += 1
+    assert wrong <= 0.02 * total
