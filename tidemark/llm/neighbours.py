@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue, exact reranking.
 
 The trees are fitted on a bounded sample; every row is then filed under its leaf in each of them.  A query descends
-all trees through a single priority queue, nearest regions first, until the leaves it has opened hold ``share`` times
-the rows (a row counts in each tree; at least ``least``) or no region left can hold a nearer row than the sample already does.  Each leaf then compares its rows with
-the queries that opened it, in blocks of bounded size, by the exact distance of the original vectors, and sends on at
-most ``k`` rows for each query.
+all trees through a single priority queue, the likeliest regions first: each hyperplane on the way costs the negative
+logarithm of the chance that a near neighbour lies on that side, given the query's distance from it and how far near
+neighbours in the sample spread across it.  It opens leaves until they hold its budget of rows, a row counting in each
+tree.  Leaves compare their rows with the queries that opened them, several leaves at a time, in blocks of bounded size,
+by the exact distance of the original vectors, and send on at most ``k`` rows for each query.
 """
 
 from __future__ import annotations
@@ -20,16 +21,32 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace
 
+_GRID = np.linspace(-37, 8, 4501)
+_COST = -np.log(np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in _GRID]))
+
 
 class Forest:
-    """Trees as flat arrays: each inner node has a hyperplane and two children, each leaf a number of its own."""
+    """Trees as flat arrays: each inner node has a hyperplane, two children and the spread of near neighbours across it."""
 
     def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 5):
-        self.normal, self.offset, self.low, self.high, self.roots, self.leaves = [], [], [], [], [], 0
+        self.normal, self.offset, self.low, self.high, self.roots, self.leaves, self.tree = [], [], [], [], [], 0, []
         rng = np.random.default_rng(seed)
-        self.roots = [self._grow(sample, np.arange(len(sample)), leaf, rng) for _ in range(trees)]
+        for t in range(trees):
+            self.roots.append(self._grow(sample, np.arange(len(sample)), leaf, rng))
+            self.tree += [t] * (self.leaves - len(self.tree))
         self.normal = np.array(self.normal).reshape(len(self.offset), sample.shape[1])
         self.offset, self.low, self.high = np.array(self.offset), np.array(self.low, np.int64), np.array(self.high, np.int64)
+        near = self._displacements(sample, rng)
+        self.spread = np.maximum(np.sqrt(((near @ self.normal.T) ** 2).mean(axis=0)), 1e-12) if len(near) else np.ones(len(self.offset))
+
+    @staticmethod
+    def _displacements(sample: np.ndarray, rng: np.random.Generator, rows: int = 256, k: int = 10) -> np.ndarray:
+        """From some rows of the sample to the nearest others."""
+        picked = sample[rng.choice(len(sample), min(rows, len(sample)), replace=False)]
+        rough = (sample * sample).sum(axis=1)[None, :] - 2 * picked @ sample.T
+        k = min(k + 1, len(sample))
+        near = np.argpartition(rough, k - 1, axis=1)[:, :k]
+        return (sample[near] - picked[:, None, :]).reshape(-1, sample.shape[1])
 
     def _grow(self, x: np.ndarray, at: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         """The number of the node that was made; a leaf's is ``-1 - leaf``."""
@@ -65,22 +82,23 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
-    def search(self, x: np.ndarray, sizes: np.ndarray, enough: float, limit: float) -> list[int]:
-        """Leaves in the order in which the queue opens them."""
-        margin = self.normal @ x - self.offset if len(self.offset) else np.zeros(0)
-        queue = [(0.0, n, root) for n, root in enumerate(self.roots)]
-        opened, held, n = [], 0, len(queue)
-        while queue and held < enough:
-            near, _, node = heapq.heappop(queue)
-            if near > limit:
-                break
-            while node >= 0:
-                m = margin[node]
-                n += 1
-                heapq.heappush(queue, (near + m * m, n, int(self.low[node] if m > 0 else self.high[node])))
-                node = int(self.high[node] if m > 0 else self.low[node])
-            opened.append(-1 - node)
-            held += sizes[-1 - node]
+    def search(self, x: np.ndarray, sizes: np.ndarray, budget: float, least: int) -> list[int]:
+        """Leaves in the order in which the queue opens them, until they hold ``budget`` rows and one tree's hold ``least``."""
+        margin = (self.normal @ x - self.offset) / self.spread if len(self.offset) else np.zeros(0)
+        down, up = np.interp(-margin, _GRID, _COST).tolist(), np.interp(margin, _GRID, _COST).tolist()
+        low, high, push, pop = self.low.tolist(), self.high.tolist(), heapq.heappush, heapq.heappop
+        queue, opened, held, of_tree = [(0.0, root) for root in self.roots], [], 0, [0] * len(self.roots)
+        heapq.heapify(queue)
+        while queue and (held < budget or max(of_tree) < least):
+            cost, node = pop(queue)
+            if node >= 0:
+                push(queue, (cost + down[node], low[node]))
+                push(queue, (cost + up[node], high[node]))
+            else:
+                n = int(sizes[-1 - node])
+                opened.append(-1 - node)
+                held += n
+                of_tree[self.tree[-1 - node]] += n
         return opened
 
 
@@ -90,100 +108,134 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, x_id: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact distances of a query's ``k`` nearest rows, ties to the smaller id, its own row left out."""
-    rough = np.einsum("ij,ij->i", x, x) - 2 * (x @ q)
-    rough[x_id == own] = np.inf
-    at = np.flatnonzero(np.isfinite(rough))
-    if len(at) > k:
-        kth = np.partition(rough[at], k - 1)[k - 1]
-        at = at[rough[at] <= kth + 1e-9 * (1 + abs(kth) + float(q @ q))]
-    d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
-    order = np.lexsort((x_id[at], d))[:k]
-    return at[order], d[order]
-
+def row_budget(rows: int, effort: float) -> float:
+    """How many rows the leaves that a query opens hold together: ``effort * rows ** 0.74``.
 
-def search(table: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 6, leaf: int = 128, sample: int = 20_000, share: float = 1.2, least: int = 12_000, block: int = 8_192) -> DataFrame:
+    At a given effort recall stays about level as a table grows, since near neighbours get nearer than others.
+    """
+    return effort * rows**0.74
+
+
+def _compare(x: np.ndarray, x_id: np.ndarray, q: np.ndarray, q_id: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, rows and exact distances of each query's ``k`` nearest of these rows, ties included, its own row left out."""
+    out, squares, step = [], np.einsum("ij,ij->i", x, x), max(1, (1 << 20) // max(1, len(x)))
+    for s in range(0, len(q), step):
+        part = q[s : s + step]
+        rough = squares[None, :] - 2 * (part @ x.T)
+        rough[x_id[None, :] == q_id[s : s + step, None]] = np.inf
+        if len(x) > k:
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            near = rough <= (kth + 1e-9 * (1 + np.abs(kth) + np.einsum("ij,ij->i", part, part)))[:, None]
+        else:
+            near = np.ones(rough.shape, bool)
+        a, b = np.nonzero(near & np.isfinite(rough))
+        out.append((q_id[s + a], x_id[b], np.sqrt(((x[b] - part[a]) ** 2).sum(axis=1))))
+    return out
+
+
+def _first(asker: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's ``k`` nearest, ties to the smaller id, an id once."""
+    order = np.lexsort((found, score, asker))
+    pair = np.stack([asker[order], found[order]])
+    _, once = np.unique(pair, axis=1, return_index=True)
+    order = order[np.sort(once)]
+    own = asker[order]
+    new = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+    rank = np.arange(len(own)) - np.repeat(new, np.diff(new, append=len(own)))
+    return order[rank < k]
+
+
+def search(table: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 12, leaf: int = 32, sample: int = 20_000, effort: float = 6.0, block: int = 8_192) -> DataFrame:
     """``(query_id, rank, id, score)``: each query's ``k`` nearest found, by Euclidean distance, ties to the smaller id.
 
     Queries are the rows for which ``queries`` is true.  Vectors that are null, zero, of another length than most, or
-    that hold null or non-finite components take no part, nor do rows with a null id; of repeated rows with one id the
-    nearest counts once.  A query with fewer candidates gets them all; an empty table gives no rows; further columns
-    are ignored.  A ``share`` as large as ``trees`` opens every leaf that
-    can hold a near row.
+    that hold null or non-finite components take no part, nor do rows with a null id; of rows with one id that with the
+    smallest vector counts.  A query with fewer candidates gets them all; an empty table gives no rows; further columns
+    are ignored.  ``effort`` sets how many rows a query opens (``row_budget``).
     """
     spark = table.sparkSession
     ws = Workspace(spark, "neighbours")
+    single = dict(table.dtypes)[vector_col] == "array<float>"
+    raw_type = np.dtype("<f4" if single else "<f8")
     base = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter("id is not null")
     common = base.filter(F.size("v") > 0).groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     schema = "query_id long, rank int, id long, score double"
     if not common:
         return spark.createDataFrame([], schema)
     dim = common["dim"]
-    rows = base.filter(usable(F.col("v"), dim))
+    rows = ws.table(base.filter(usable(F.col("v"), dim)).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "rows", compression="zstd")
     total = rows.count()
     if not total:
         return spark.createDataFrame([], schema)
-    pick = rows.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < int(math.ceil(1_000_000 * min(1.0, sample / total))))
-    fitted = np.array([r["v"] for r in pick.select("id", "v").orderBy("id").collect()]).reshape(-1, dim)
+    pick = rows.filter(F.xxhash64(F.lit(3), "id") / F.lit(2.0**64) + F.lit(0.5) <= min(1.0, 1.5 * sample / total)).select("id", "v")
+    fitted = np.array([r["v"] for r in pick.orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(sample).collect()]).reshape(-1, dim)
     if not len(fitted):
         fitted = np.zeros((1, dim))
-    forest = Forest(fitted, trees, leaf)
-    shared = spark.sparkContext.broadcast((forest, fitted))  # bounded by the sample
+    shared = spark.sparkContext.broadcast(Forest(fitted, trees, leaf))  # bounded by the sample
+    leaves = shared.value.leaves
 
     def file(batches):
-        forest, _ = shared.value
+        forest = shared.value
         for batch in batches:
             x = np.array(batch.column(1).flatten()).reshape(-1, dim)
             where = forest.file(x)
-            raw = [v.tobytes() for v in x]
+            raw = pa.array([v.tobytes() for v in x.astype(raw_type)], pa.binary())
             for t in range(where.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(where[:, t]), batch.column(0), pa.array(raw, pa.binary())], names=["leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(where[:, t]), batch.column(0), raw], names=["leaf", "id", "v"])
 
-    filed = ws.table(rows.select("id", "v").mapInArrow(file, "leaf long, id long, v binary"), "filed", compression="zstd")
-    sizes = np.zeros(forest.leaves, np.int64)
+    filed = ws.table(rows.select("id", "v").mapInArrow(file, "leaf long, id long, v binary"), "filed", small=True, compression="zstd")
+    sizes = np.zeros(leaves, np.int64)
     for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # as many as the forest has leaves
         sizes[r["leaf"]] = r["n"]
+    budget = row_budget(total, effort)
 
     def ask(batches):
-        forest, sample_rows = shared.value
-        squares = np.einsum("ij,ij->i", sample_rows, sample_rows)
+        forest = shared.value
         for batch in batches:
             x = np.array(batch.column(1).flatten()).reshape(-1, dim)
-            leaves, ids, raw = [], [], []
             for q, key in zip(x, batch.column(0).to_pylist(), strict=True):
-                limit = math.inf
-                if len(sample_rows) > k + 1:  # one of them may be the query itself
-                    near = squares - 2 * (sample_rows @ q) + q @ q
-                    limit = float(np.partition(near, k + 1)[k + 1]) * (1 + 1e-9) + 1e-9
-                opened = forest.search(q, sizes, max(least, share * total), limit)
-                leaves += opened
-                ids += [key] * len(opened)
-                raw += [q.tobytes()] * len(opened)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["leaf", "id", "v"])
-
-    asked = ws.table(rows.filter("asks").select("id", "v").dropDuplicates(["id"]).mapInArrow(ask, "leaf long, id long, v binary"), "asked", compression="zstd")
-    asking = np.zeros(forest.leaves, np.int64)
+                opened = forest.search(q, sizes, budget, k + 1)
+                raw = q.astype(raw_type).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(opened, pa.int64()), pa.array([key] * len(opened), pa.int64()), pa.array([raw] * len(opened), pa.binary())], names=["leaf", "id", "v"])
+
+    asked = ws.table(rows.filter("asks").select("id", "v").mapInArrow(ask, "leaf long, id long, v binary"), "asked", small=True, compression="zstd")
+    asking = np.zeros(leaves, np.int64)
     for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect():
         asking[r["leaf"]] = r["n"]
-    parts = lambda n: [int(-(-x // block)) or 1 for x in n]
-    row_parts, ask_parts = (F.array(*map(F.lit, parts(x))) for x in (sizes, asking))
-    of = lambda n: F.get(n, F.col("leaf").cast("int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), of(n).cast("bigint")).cast("int")
-    left = filed.withColumn("r", own(row_parts)).withColumn("a", each(ask_parts))
-    right = asked.withColumn("a", own(ask_parts)).withColumn("r", each(row_parts))
+    # neighbouring leaves travel together, up to a block of rows and of queries; a larger leaf is alone and cut into blocks
+    pack, rows_in, asks_in = np.zeros(leaves, np.int64), [0], [0]
+    for n in range(leaves):
+        if rows_in[-1] and (rows_in[-1] + sizes[n] > block or asks_in[-1] + asking[n] > block):
+            rows_in.append(0)
+            asks_in.append(0)
+        pack[n] = len(rows_in) - 1
+        rows_in[-1] += int(sizes[n])
+        asks_in[-1] += int(asking[n])
+    plan = [(n, int(p), max(1, -(-rows_in[p] // block)), max(1, -(-asks_in[p] // block))) for n, p in enumerate(pack)]  # a row for each leaf of the forest
+    placed = lambda t: t.join(F.broadcast(spark.createDataFrame(plan, "leaf long, pack long, row_parts int, ask_parts int")), "leaf")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("bigint")).cast("int")
+    left = placed(filed).select("pack", "leaf", "id", "v", own("row_parts").alias("r"), each("ask_parts").alias("a"))
+    right = placed(asked).select("pack", "leaf", "id", "v", own("ask_parts").alias("a"), each("row_parts").alias("r"))
 
     def compare(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out = []
         if len(rows) and len(asks):
-            x, x_id = np.frombuffer(b"".join(rows["v"]), float).reshape(-1, dim), rows["id"].to_numpy()
-            for key, raw in zip(asks["id"], asks["v"], strict=True):
-                at, d = _nearest(np.frombuffer(raw, float), x, x_id, key, k)
-                out.append((np.full(len(at), key), x_id[at], d))
-        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "id", "score"), zip(*out, strict=True), strict=True)})
-
-    keys = ["leaf", "r", "a"]
+            rows, asks = rows.sort_values("leaf", kind="stable"), asks.sort_values("leaf", kind="stable")
+            x, q = (np.frombuffer(b"".join(t["v"]), raw_type).reshape(-1, dim).astype(float) for t in (rows, asks))
+            x_id, q_id, x_leaf, q_leaf = rows["id"].to_numpy(), asks["id"].to_numpy(), rows["leaf"].to_numpy(), asks["leaf"].to_numpy()
+            for n in np.unique(q_leaf):
+                a, b = np.searchsorted(x_leaf, [n, n + 1])
+                c, d = np.searchsorted(q_leaf, [n, n + 1])
+                if b > a:
+                    out += _compare(x[a:b], x_id[a:b], q[c:d], q_id[c:d], k)
+        if not out:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        asker, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        best = _first(asker, found, score, k) if len(asker) else slice(0)
+        return pd.DataFrame({"query_id": asker[best], "id": found[best], "score": score[best]})
+
+    keys = ["pack", "r", "a"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, id long, score double")
     once = near.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
