@@ -26,7 +26,7 @@ _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
 _BLOCK = 16  # words; windows begin at multiples of it
 _SIZES = (3, 5)  # blocks of a window, the smallest that holds the item wherever it begins; longer items have their own
-_SLICE = 512  # features whose sums travel together
+_SLICE = 128  # features whose sums travel together
 _CHUNK = 1 << 13  # words whose vectors are made at a time; they fit a core's cache
 _ANCHOR = 4  # successive words of an item that make a place a candidate
 _RANK = 96  # dimensions of the latent space at least; a larger block of items has one for each eight
@@ -85,7 +85,8 @@ class Items:
 def _encode(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFrame:
     """``(id, k1, k2, words)``: the text's words as little-endian 32-bit numbers, -1 for words of no item.
 
-    Whole blocks are written, the last being filled up with -1, so texts can be laid end to end.
+    Whole passages of two blocks are written, the last being filled up with -1, so texts can be laid end to end and no
+    passage holds words of two.
     """
     raw = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), raw).alias("k1"), F.xxhash64(F.lit(2), raw).alias("k2"), F.col(text_col).cast("string").alias("text"))
@@ -99,7 +100,7 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFr
             out = []
             for x in batch.column(3):
                 words = words_of(x.as_py())
-                ids = np.full(-(-len(words) // _BLOCK) * _BLOCK, -1, "<i4")
+                ids = np.full(-(-len(words) // (2 * _BLOCK)) * 2 * _BLOCK, -1, "<i4")
                 ids[: len(words)] = np.fromiter(map(get, words, repeat(-1)), "<i4", len(words))
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["id", "k1", "k2", "words"])
@@ -126,13 +127,18 @@ def _summed(parts: DataFrame, spark, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def _few(encoded: DataFrame) -> DataFrame:
+    """The words in no more tasks than a shuffle has partitions: each task sends one set of sums, however large its share."""
+    return encoded.select("words").coalesce(max(1, width(encoded.sparkSession)))
+
+
 def _slices(sums: np.ndarray) -> pa.RecordBatch:
     n = range(0, len(sums), _SLICE)
     return pa.RecordBatch.from_arrays([pa.array([k // _SLICE for k in n], pa.int64()), pa.array([np.ascontiguousarray(sums[k : k + _SLICE]).tobytes() for k in n], pa.binary())], names=["slice", "sums"])
 
 
 def _runs(batches):
-    """The encoded words of many texts end to end, about ``_CHUNK`` at a time, cut at blocks."""
+    """The encoded words of many texts end to end, about ``_CHUNK`` at a time, cut at passages."""
     held, n = [], 0
     for batch in batches:
         for raw in batch.column(0):
@@ -159,7 +165,7 @@ def document_frequency(encoded: DataFrame, n_words: int) -> tuple[np.ndarray, in
             df[n_words] += -(-len(words) // (2 * _BLOCK))
         yield _slices(df)
 
-    total = _summed(encoded.select("words").mapInArrow(run, "slice long, sums binary"), encoded.sparkSession, (n_words + 1, 1))[:, 0]
+    total = _summed(_few(encoded).mapInArrow(run, "slice long, sums binary"), encoded.sparkSession, (n_words + 1, 1))[:, 0]
     return total[:n_words], int(total[n_words])
 
 
@@ -206,7 +212,7 @@ def latent_table(encoded: DataFrame, items: Items, idf: np.ndarray, rank: int) -
             project(words, sums, table, idf)
         yield _slices(sums)
 
-    corpus = _summed(encoded.select("words").mapInArrow(run, "slice long, sums binary"), spark, (n, rank + 1))
+    corpus = _summed(_few(encoded).mapInArrow(run, "slice long, sums binary"), spark, (n, rank + 1))
     own = np.zeros((n, rank + 1))
     for words in items.words:
         project(np.array(words, "<i4"), own, sketch, idf)
@@ -371,7 +377,7 @@ def _judge(best: dict[tuple[int, int], tuple], items: Items, text: int, item: in
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int | None = None, limits: Limits | None = None, items_at_once: int = 2048) -> DataFrame:
     """``(id, k1, k2, item, cosine, lcs, answer, start, exact)``: the leaks of each row, one for each item that it holds.
 
-    k1 and k2 are hashes of the row's text.  Null texts have no words; items without words (null ones too) leak
+    k1 and k2 are hashes of the row's text.  Texts are searched end to end, whatever their length.  Null texts have no words; items without words (null ones too) leak
     nowhere; repeated rows and items are judged each; further columns are ignored; empty tables give no rows.  The
     benchmark is taken in blocks of ``items_at_once``, so what is broadcast is bounded whatever its size.  The latent space has
     ``rank`` dimensions; if none are given, their number grows with the items of a block.
@@ -400,7 +406,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The input's rows whose text holds no item."""
+    """The input's rows whose text holds no item.
+
+    Null and empty texts hold none; repeated rows are judged alike; columns of any names pass through; empty tables
+    give the input.
+    """
     k1, k2 = fresh(docs, "k1", "k2")
     leaks = find_leaks(docs.select(F.lit(0).alias("row"), F.col(f"`{text_col}`").alias("text")), benchmark, "row", "text", **options).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
     raw = F.col(f"`{text_col}`").cast("binary")
