@@ -48,3 +48,8 @@ def test_query_and_empty_table(spark):
     got = QUERIES["op6_training_shards"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.slot for r in got) == list(range(len(got))) and {k for r in got for k in r.doc_ids} == set(range(200))
     assert shards.write_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_another_type_are_kept(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string").coalesce(1)
+    assert [r.docs for r in shards.write_shards(docs).collect()] == [["a", None, "b"]]

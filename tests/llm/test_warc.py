@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 
+import pytest
+
 from tidemark.llm import warc
 from tidemark.llm.queries import QUERIES
 
@@ -42,6 +44,19 @@ def test_empty_table_repeated_rows_and_null_keys(spark):
     got = warc.round_trip(pages).collect()
     assert sorted((r.record_key or "", r.record_type, r.refers_to) for r in got) == [("", "revisit", "1"), ("1", "response", None), ("1", "response", None)]
     assert warc.round_trip(pages.limit(0)).count() == 0
+    many = spark.createDataFrame([(k % 7 or None, "u", f"x{k % 3}") for k in range(60)], "page_id long, url string, html string").repartition(4)
+    got = warc.round_trip(many).collect()
+    assert len({r.record_id for r in got}) == 60
+
+
+def test_damage_in_an_archive_is_noticed(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "some payload of a page")], "page_id long, url string, html string")
+    (row,) = warc.write_archives(warc.plan_records(pages.coalesce(1), "page_id", "url", "html"), f"file://{tmp_path}", level=0).filter("records > 0").collect()
+    path = row.file.removeprefix("file://")
+    raw = gzip.decompress(open(path, "rb").read())
+    open(path, "wb").write(gzip.compress(raw.replace(b"some payload", b"other payload"[:12])))
+    with pytest.raises(Exception, match="not what its digest says"):
+        warc.read_chunks(spark, spark.createDataFrame([(row.file,)], "file string")).collect()
 
 
 def test_plain_and_foreign_archives():

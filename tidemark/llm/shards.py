@@ -54,7 +54,8 @@ def cut_sequences(docs: DataFrame, id_col: str, text_col: str, length: int, voca
     ``ids`` is a record of ``length`` little-endian values, filled up with ``end_id``; ``docs`` and ``starts`` name the
     documents whose ids it holds and where each one's begin in it.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind_of_id = rows.dtypes[0][1]
 
     def run(batches):
         own = encoder(vocabulary)
@@ -69,12 +70,14 @@ def cut_sequences(docs: DataFrame, id_col: str, text_col: str, length: int, voca
             open_ids, filled, docs_in, starts, at = [], 0, [], [], at + 1
 
         def made() -> pa.RecordBatch:
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+            types = [pa.int64()] * 3 + [pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "at", "n_tokens", "docs", "starts", "ids"])
             rows.clear()
             return out
 
+        id_type = pa.int64()
         for batch in batches:
+            id_type = batch.schema.field(0).type
             keys = iter(batch.column(0).to_pylist())
             for texts in batches_of([x or "" for x in batch.column(1).to_pylist()]):
                 for ids in own.encode_all(texts):
@@ -94,7 +97,7 @@ def cut_sequences(docs: DataFrame, id_col: str, text_col: str, length: int, voca
         if rows:
             yield made()
 
-    return rows.mapInArrow(run, "part long, at long, n_tokens long, docs array<bigint>, starts array<bigint>, ids binary")
+    return rows.mapInArrow(run, f"part long, at long, n_tokens long, docs array<{kind_of_id}>, starts array<bigint>, ids binary")
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, per_shard: int = 4096, key: int = 1, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
@@ -103,8 +106,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     ``(slot, sequence, shard, byte_offset, n_tokens, crc32, docs, starts)``, one row per sequence, crc32 being that of
     the record's bytes.  A shard is written under a temporary name and renamed; one that stands there whole, with the
     same checksum, is left as it is, so a run that broke off goes on where it ended.  Null texts are their end id
-    alone; null ids are listed as null; repeated rows are written each; further columns are ignored; an empty table
-    writes no shard and gives no rows.
+    alone; ids of any type are listed as they are, null ones as null; repeated rows are written each; further columns are ignored; an empty table
+    writes no shard and gives no rows.  Documents are numbered as the table's files are split, so another split gives
+    another training order.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "shards")
@@ -122,7 +126,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
             slot = feistel(sequence, total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), *batch.columns[2:5], pa.array([pack.compress(x.as_py()) for x in batch.column(5)], pa.binary())], names=["slot", "sequence", "shard", "n_tokens", "docs", "starts", "ids"])
 
-    placed = cut.mapInArrow(place, "slot long, sequence long, shard long, n_tokens long, docs array<bigint>, starts array<bigint>, ids binary")
+    listed = dict(cut.dtypes)["docs"]
+    placed = cut.mapInArrow(place, f"slot long, sequence long, shard long, n_tokens long, docs {listed}, starts array<bigint>, ids binary")
     tasks = max(1, min(-(-total // per_shard), width(spark)))
 
     def write(batches):
@@ -146,12 +151,14 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
             fs.move(temporary, name)
 
         def made() -> pa.RecordBatch:
-            types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+            types = [pa.int64()] * 6 + [ids_type, pa.list_(pa.int64())]
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "crc32", "docs", "starts"])
             rows.clear()
             return out
 
+        ids_type = None
         for batch in batches:
+            ids_type = batch.schema.field(4).type
             for slot, sequence, own, n, ids_of, starts, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != shard:
                     close()
@@ -164,7 +171,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         close()
 
     ordered = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
-    schema = "slot long, sequence long, shard long, byte_offset long, n_tokens long, crc32 long, docs array<bigint>, starts array<bigint>"
+    schema = f"slot long, sequence long, shard long, byte_offset long, n_tokens long, crc32 long, docs {listed}, starts array<bigint>"
     return ws.table(ordered.mapInArrow(write, schema), "index", compression="zstd")
 
 

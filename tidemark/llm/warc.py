@@ -43,15 +43,17 @@ def record_id(key: object) -> str:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 0) -> DataFrame:
-    """``(id, url, payload, digest, first)``: first is the key of the record that holds an equal payload, itself included.
+    """``(id, url, payload, digest, first, alone)``: first is the key of the record that holds an equal payload, itself included.
 
     Payloads of fewer than ``least`` bytes are their own.  Null payloads are empty; of repeated rows with the largest
-    key each holds the payload; a null key never is another's ``first``.
+    key each holds the payload (``alone`` is false then); a null key never is another's ``first``.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
-    most = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.max("id").alias("first"))
+    counted = rows.filter(F.length("payload") >= least).groupBy("digest", "id").agg(F.count("*").alias("n"))
+    most = counted.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("most")).select("digest", F.col("most.id").alias("first"), (F.col("most.n") == 1).alias("alone"))
     joined = rows.join(most, "digest", "left")
-    return joined.withColumn("first", F.when(F.length("payload") >= least, F.coalesce("first", "id")).otherwise(F.col("id")))
+    held = F.length("payload") >= least
+    return joined.withColumns({"first": F.when(held, F.coalesce("first", "id")).otherwise(F.col("id")), "alone": F.coalesce(held & F.col("alone") & F.col("id").isNotNull(), F.lit(False))})
 
 
 def _head(kind: str, fields: list[tuple[str, str]], block: int) -> bytes:
@@ -64,9 +66,10 @@ def _clean(url: str | None) -> str:
 
 
 def write_archives(records: DataFrame, folder: str, date: str | None = None, level: int = 4) -> DataFrame:
-    """Writes ``plan_records`` rows and returns ``(file, records, bytes)``, one row per archive.
+    """Writes ``plan_records`` rows, when it is asked, and returns ``(file, records, bytes)``, one row per archive.
 
-    The returned table has been written, so asking it again writes nothing anew.
+    Every record has an identifier of its own: a payload's only holder one that others can refer to, any other record
+    one made of its archive's name and its place there.
     """
     stamp = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -91,13 +94,14 @@ def write_archives(records: DataFrame, folder: str, date: str | None = None, lev
             info = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
             member(_head("warcinfo", [("WARC-Record-ID", f"<{record_id(name)}>"), ("WARC-Date", stamp), ("Content-Type", "application/warc-fields")], len(info)), info, b"\r\n\r\n")
             for batch in batches:
-                for key, url, payload, digest, first in zip(*batch.columns, strict=True):
-                    key, first, payload = key.as_py(), first.as_py(), payload.as_py()
-                    shared = [("WARC-Record-ID", f"<{record_id(key)}>"), ("WARC-Date", stamp), ("WARC-Target-URI", _clean(url.as_py())), ("WARC-Payload-Digest", f"sha1:{base32_sha1(digest.as_py())}"), ("Content-Type", "application/http; msgtype=response"), ("X-Key", "" if key is None else str(key))]
+                for key, url, payload, digest, first, alone in zip(*batch.columns, strict=True):
+                    key, first, payload, alone, digest = key.as_py(), first.as_py(), payload.as_py(), alone.as_py(), base32_sha1(digest.as_py())
+                    own = f"{digest}:{key}" if alone and first == key else f"{name}:{n}"
+                    shared = [("WARC-Record-ID", f"<{record_id(own)}>"), ("WARC-Date", stamp), ("WARC-Target-URI", _clean(url.as_py())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("X-Key", "" if key is None else str(key))]
                     if first == key:
                         member(_head("response", shared, len(_HTTP) + len(payload)), _HTTP, payload, b"\r\n\r\n")
                     else:
-                        more = [("WARC-Refers-To", f"<{record_id(first)}>"), ("WARC-Profile", _PROFILE), ("X-Refers-To-Key", str(first)), ("X-Payload-Length", str(len(payload)))]
+                        more = [*([("WARC-Refers-To", f"<{record_id(f'{digest}:{first}')}>")] if alone else []), ("WARC-Profile", _PROFILE), ("X-Refers-To-Key", str(first)), ("X-Payload-Length", str(len(payload)))]
                         member(_head("revisit", [*shared, *more], len(_HTTP)), _HTTP, b"\r\n\r\n")
                     n += 1
             size = out.tell()
@@ -106,7 +110,7 @@ def write_archives(records: DataFrame, folder: str, date: str | None = None, lev
         fs.move(temporary, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
 
-    return records.select("id", "url", "payload", "digest", "first").mapInArrow(run, "file string, records long, bytes long")
+    return records.select("id", "url", "payload", "digest", "first", "alone").mapInArrow(run, "file string, records long, bytes long")
 
 
 class _Members:
@@ -191,7 +195,8 @@ def read_chunks(spark: SparkSession, files: DataFrame, chunk: int = CHUNK, with_
 
     One row per payload chunk: ``(file, record_id, record_key, record_type, url, refers_to, chunk, is_last, payload_bytes,
     payload_digest, data)``; the byte count and the digest are those up to and with this chunk;
-    of a revisit, bytes and digest are those of the payload that it stands for.
+    of a revisit, bytes and digest are those of the payload that it stands for.  A payload that does not match the
+    digest in its head is an error.
     """
     names = ["file", "record_id", "record_key", "record_type", "url", "refers_to", "chunk", "is_last", "payload_bytes", "payload_digest", "data"]
     types = [pa.string()] * 6 + [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
@@ -208,7 +213,10 @@ def read_chunks(spark: SparkSession, files: DataFrame, chunk: int = CHUNK, with_
                             continue
                         revisit = kind == "revisit"
                         size = int(head.get("x-payload-length", 0)) if revisit else so_far
-                        digest = head["warc-payload-digest"].removeprefix("sha1:") if revisit else digest
+                        said = head.get("warc-payload-digest", "")
+                        if not revisit and last and said.startswith("sha1:") and said != f"sha1:{digest}":
+                            raise ValueError(f"{file}: the payload of {head['warc-record-id']} is not what its digest says")
+                        digest = said.removeprefix("sha1:") if revisit else digest
                         rows.append((file, head["warc-record-id"].strip("<>"), head.get("x-key") or None, kind, head.get("warc-target-uri"), head.get("x-refers-to-key"), number, last, size, digest, part if with_data else None))
                         held += len(part)
                         if held > 8 * CHUNK or len(rows) >= 4096:
