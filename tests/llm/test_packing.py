@@ -65,3 +65,15 @@ def test_hilbert_neighbours_touch():
     order = cells[np.argsort(packing.hilbert_key(cells))] >> 13
     assert len(set(packing.hilbert_key(cells).tolist())) == 512
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_neighbours_on_the_curve_share_sequences(spark):
+    """Documents of two kinds, laid out by turns, hardly ever meet in a sequence."""
+    kinds = ["the river runs down to the sea and the boats go out", "0x1f 42 97 3.14 17 % { } [ ] ; = + 88 12 404"]
+    rows = [(k, " ".join(kinds[k % 2].split()[j % 11] for j in range(k, k + 150))) for k in range(160)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), size=512).collect()
+    held = {}
+    for r in pieces:
+        held.setdefault(r.sequence_id, set()).add(r.doc_id % 2)
+    mixed = sum(len(x) > 1 for x in held.values())
+    assert len(held) > 40 and mixed <= 0.15 * len(held)

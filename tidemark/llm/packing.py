@@ -21,6 +21,7 @@ from tidemark.llm.common import Workspace, width
 from tidemark.llm.tokens import batches_of, default_vocabulary, encoder
 
 _BUCKETS, _DIMS, _BITS, _SEED = 1024, 3, 16, 20_240_101
+_TASK = 32 << 20  # ids that a task packs
 
 
 def projection() -> np.ndarray:
@@ -159,6 +160,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         if cut.rows:
             yield rows()
 
-    ordered = written.repartitionByRange(width(spark), "key", "tie", "id").sortWithinPartitions("key", "tie", "id").select("id", "n_tokens", "ids")
+    total = written.agg(F.sum("n_tokens")).first()[0] or 0
+    tasks = max(width(spark), -(-total // _TASK))  # however few partitions the session asks for
+    ordered = written.repartitionByRange(tasks, "key", "tie", "id").sortWithinPartitions("key", "tie", "id").select("id", "n_tokens", "ids")
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if payload else "")
     return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_col)
