@@ -23,8 +23,11 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """The rows, written to the folder of the session's checkpoints (one of our own only where none is set)."""
+    """The rows, written to the folder of the session's checkpoints; only a local master may do without one."""
     context = rows.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return rows.checkpoint()

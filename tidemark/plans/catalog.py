@@ -477,7 +477,7 @@ def fact_asof(spark, d):
 _REVISIONS = "SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS supersedes FROM events"
 
 
-@query(f"WITH RECURSIVE r AS ({_REVISIONS}), chain AS (SELECT id, supersedes, 0 AS step FROM r WHERE id = (SELECT max(event_id) FROM events WHERE user_id = 7) UNION ALL SELECT r.id, r.supersedes, step + 1 FROM chain JOIN r ON r.id = chain.supersedes WHERE step < 1000) SELECT id, step FROM chain")
+@query(f"WITH RECURSIVE r AS ({_REVISIONS}), chain AS (SELECT id, supersedes, 0 AS step FROM r WHERE id = (SELECT max(event_id) FROM events WHERE user_id = 7) UNION ALL SELECT r.id, r.supersedes, step + 1 FROM chain JOIN r ON r.id = chain.supersedes) SELECT id, step FROM chain")
 def fact_history(spark, d):
     e = T.read(spark, d, "events")
     newest = e.filter("user_id = 7").agg(F.max("event_id")).first()[0]
@@ -507,7 +507,7 @@ def mutation_errors(spark, d):
     return store.mutation_errors(T.mutations(spark, d))
 
 
-@query("WITH RECURSIVE l AS (SELECT event_id AS old, event_id + 3 AS new FROM events WHERE event_id % 4 <> 0), walk AS (SELECT old AS root, new AS tip, 1 AS hops FROM l WHERE old NOT IN (SELECT new FROM l) UNION ALL SELECT root, l.new, hops + 1 FROM walk JOIN l ON l.old = walk.tip WHERE hops < 64) SELECT root, arg_max(tip, hops) AS tip, max(hops) AS hops FROM walk GROUP BY root")
+@query("WITH RECURSIVE l AS (SELECT event_id AS old, event_id + 3 AS new FROM events WHERE event_id % 4 <> 0), walk AS (SELECT old AS root, new AS tip, 1 AS hops FROM l WHERE old NOT IN (SELECT new FROM l) UNION ALL SELECT root, l.new, hops + 1 FROM walk JOIN l ON l.old = walk.tip) SELECT root, arg_max(tip, hops) AS tip, max(hops) AS hops FROM walk GROUP BY root")
 def supersede_tip(spark, d):
     e = T.read(spark, d, "events").filter("event_id % 4 <> 0")
     return store.supersede_tips(e.select(F.col("event_id").alias("old"), (F.col("event_id") + 3).alias("new")))

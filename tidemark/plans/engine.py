@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.vectors import is_finite
 from tidemark.operators import answers, chunks, context, enrich, facts, fulltext, fusion, graph, maintain, rerank, store, vector_search
 from tidemark.streaming import streams
 
 
 FRAMES = "frame_id long, ts_ms long, text string, sha256 string, status int, kind string, metadata map<string,string>, labels array<string>, supersedes long, superseded_by long"
+EMBEDDINGS = "seq long, frame_id long, embedding array<double>, identity string"
 FACT_LOG = "seq long, op string, entity string, attribute string, value string, metadata map<string,string>, id long, supersedes long, ts_ms long"
 
 
@@ -20,6 +22,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.store = store.FrameStore(spark, root) if root else None
+        self.waiting: list[tuple] = []  # facts that are staged, not committed
 
     # ---- searching
 
@@ -71,7 +74,8 @@ class Engine:
             rows = rows.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, v: k != "session"), F.create_map(F.lit("session"), F.lit(session))))
         cut = chunks.chunk_words(rows.withColumnRenamed("ord", "frame_id"), target, overlap)
         pieces = cut.join(rows.select(F.col("ord").alias("frame_id"), "ts_ms", "metadata"), "frame_id").select(F.struct("frame_id", "chunk").alias("ord"), "ts_ms", "text", "metadata")
-        return self.store.commit({"frames": store.append_frames(self.store.read_or_empty("frames", FRAMES), pieces)})
+        last = self.store.current()
+        return self.store.commit(append={"frames": store.new_frames(self.store.read_or_empty("frames", FRAMES), pieces)}, expect=last)
 
     def remember_handoff(self, content: str, ts_ms: int, project: str | None = None, pending: list[str] | None = None) -> int:
         meta = {"kind": "handoff", **({"project": project} if project else {}), **({"pending": "\n".join(pending)} if pending else {})}
@@ -80,6 +84,41 @@ class Engine:
     def latest_handoff(self, project: str | None = None) -> DataFrame:
         return store.latest_handoff(self.store.read("frames"), project)
 
+    def frames(self, ids: list[int] | DataFrame | None = None, payload: bool = True) -> DataFrame:
+        """All frames, or those of ids (a list or a table with ``frame_id``), with or without their texts."""
+        rows = self.store.read_or_empty("frames", FRAMES)
+        if ids is None:
+            return rows if payload else rows.drop("text")
+        return store.lookup(rows, self.spark.createDataFrame([(i,) for i in ids], "frame_id long") if isinstance(ids, list) else ids, payload)
+
+    def contents(self, ids: list[int] | DataFrame) -> DataFrame:
+        """``(frame_id, text)`` of frames, none of them an internal payload."""
+        return self.frames(ids).filter(~store.is_internal(F.col("text"))).select("frame_id", "text")
+
+    def put_embeddings(self, rows: DataFrame, identity: str = "") -> int:
+        """Appends vectors ``(frame_id, embedding)`` of known frames; they must be finite and of the length held so far."""
+        bad = rows.join(self.frames(payload=False).select("frame_id"), "frame_id", "left_anti").select("frame_id").first()
+        if bad:
+            raise ValueError(f"no frame {bad['frame_id']}")
+        held = self.store.read_or_empty("embeddings", EMBEDDINGS)
+        dim = held.select(F.size("embedding").alias("n")).first() or rows.select(F.size("embedding").alias("n")).first()
+        if dim and rows.filter((F.size("embedding") != dim["n"]) | (F.size("embedding") < 1) | ~is_finite(F.col("embedding"))).take(1):
+            raise ValueError(f"a vector is not finite or not of {dim['n']} dimensions")
+        start = held.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        made = rows.select(F.lit(start).cast("bigint").alias("seq"), F.col("frame_id").cast("bigint").alias("frame_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(identity).alias("identity"))
+        return self.store.commit(append={"embeddings": made})
+
+    def vectors(self) -> DataFrame:
+        """``(frame_id, embedding)``: the last vector of each live frame."""
+        rows = vector_search.latest_valid(self.store.read_or_empty("embeddings", EMBEDDINGS))
+        return rows.join(store.live(self.frames(payload=False)).select("frame_id"), "frame_id", "left_semi")
+
+    def rebuild(self) -> dict[str, DataFrame]:
+        """What is derived from the stored logs, made anew: facts, live frames, vectors, and what superseded what."""
+        frames = self.frames()
+        links = frames.filter("superseded_by is not null").select(F.col("frame_id").alias("old"), F.col("superseded_by").alias("new"))
+        return {"facts": self.facts(), "live": store.live(frames), "vectors": self.vectors(), "surrogate_map": store.surrogate_map(links)}
+
     def optimize_surrogates(self, overwrite: bool = False) -> int:
         """Summarizes the frames that have no summaries yet."""
         made = self.store.read_or_empty("surrogates", "frame_id long, full string, gist string, micro string")
@@ -92,34 +131,54 @@ class Engine:
         """Starts the ingest of a stream of ``(relative_path, text)``; the query that comes back tells its progress and stops it."""
         return streams.ingest_stream(files, self.store, enricher, checkpoint, interval)
 
+    def index_status(self) -> DataFrame:
+        """One row: what the index jobs have done so far, and how fast."""
+        return streams.throughput(self.store.read_or_empty("index_status", streams.STATUS))
+
+    def report(self) -> DataFrame:
+        return self.store.report()
+
     # ---- facts
 
-    def _fact_log(self) -> DataFrame:
-        return self.store.read_or_empty("fact_log", FACT_LOG)
+    def _fact_log(self, staged: bool = False) -> DataFrame:
+        log = self.store.read_or_empty("fact_log", FACT_LOG)
+        return log.unionByName(self.spark.createDataFrame(self.waiting, FACT_LOG)) if staged and self.waiting else log
 
     def _pins(self) -> DataFrame:
         return self.store.read_or_empty("pins", "entity string, attribute string")
 
-    def facts(self, as_of_ms: int | None = None) -> DataFrame:
-        """The current facts, or those of a time."""
+    def facts(self, as_of_ms: int | None = None, staged: bool = False) -> DataFrame:
+        """The current facts, or those of a time; with ``staged`` as they will be after the next commit."""
         pins = self._pins().distinct().withColumn("pinned", F.lit(True))
-        return facts.latest(self._fact_log(), as_of_ms).join(pins, ["entity", "attribute"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+        return facts.latest(self._fact_log(staged), as_of_ms).join(pins, ["entity", "attribute"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
 
     def search_facts(self, prefix: str = "", limit: int = 100) -> DataFrame:
         return facts.by_prefix(self.facts(), prefix, limit)
 
-    def _append(self, op: str, entity: str, attribute: str, value: str | None, metadata: dict[str, str], ts_ms: int, supersedes: int | None = None) -> int:
-        log = self._fact_log()
-        seq = log.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        row = self.spark.createDataFrame([(seq, op, entity, attribute, value, metadata, seq, supersedes, ts_ms)], FACT_LOG)
-        self.store.commit({"fact_log": log.unionByName(row)})
+    def _append(self, op: str, entity: str, attribute: str, value: str | None, metadata: dict[str, str], ts_ms: int, supersedes: int | None = None, commit: bool = True) -> int:
+        seq = self.waiting[-1][0] + 1 if self.waiting else self._fact_log().agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        self.waiting.append((seq, op, entity, attribute, value, metadata, seq, supersedes, ts_ms))
+        if commit:
+            self.flush()
         return seq
 
-    def add_fact(self, entity: str, attribute: str, value: str, metadata: dict[str, str] | None = None, ts_ms: int = 0) -> int:
-        """Adds or replaces a fact and returns the revision's id."""
+    def flush(self) -> int | None:
+        """Commits the staged facts, as one part behind the log; None if there are none.  If another writer has committed since they stay staged."""
+        if not self.waiting:
+            return None
+        number = self.store.commit(append={"fact_log": self.spark.createDataFrame(self.waiting, FACT_LOG).coalesce(1)})
+        self.waiting.clear()
+        return number
+
+    def rollback(self) -> None:
+        """Forgets the staged facts."""
+        self.waiting.clear()
+
+    def add_fact(self, entity: str, attribute: str, value: str, metadata: dict[str, str] | None = None, ts_ms: int = 0, commit: bool = True) -> int:
+        """Adds or replaces a fact and returns the revision's id; without ``commit`` it is only staged."""
         if not entity or not attribute:
             raise ValueError("a fact has an entity and an attribute")
-        return self._append("upsert", entity, attribute, value, metadata or {}, ts_ms)
+        return self._append("upsert", entity, attribute, value, metadata or {}, ts_ms, commit=commit)
 
     def get_fact(self, id_: int) -> DataFrame:
         """A revision of a fact, current or not."""
@@ -154,6 +213,11 @@ class Engine:
             self.store.commit({"pins": self._pins().unionByName(key) if pinned else self._pins().join(key, ["entity", "attribute"], "left_anti")})
         return id_
 
+    def forget(self, entity: str, attribute: str, ts_ms: int = 0) -> bool:
+        """Deletes the current fact of a key."""
+        row = self.facts().filter((F.col("entity") == entity) & (F.col("attribute") == attribute)).first()
+        return bool(row) and self.delete_fact(row["id"], ts_ms)
+
     def fact_history(self, id_: int) -> DataFrame:
         return facts.history(facts.versions(self._fact_log()), id_)
 

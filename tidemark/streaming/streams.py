@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,29 +51,65 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
 
 
+FILES = "relative_path string, size_bytes long, content_hash string, batch long"
+CHUNKS = "relative_path string, symbol string, line_start int, line_end int, token_estimate int, text string, language string, content_hash string, size_bytes long, chunk_id string, batch long"
+STATUS = "batch long, files long, unchanged long, chunks long, facts long, seconds double"
+
+
+def _latest(log: DataFrame, key: str = "relative_path") -> DataFrame:
+    return log.groupBy(key).agg(F.max("batch").alias("batch"))
+
+
+def indexed_files(store: S.FrameStore) -> DataFrame:
+    """The latest version of each file that was ingested."""
+    log = store.read_or_empty("files", FILES)
+    return log.join(_latest(log), ["relative_path", "batch"], "left_semi")
+
+
+def indexed(store: S.FrameStore, table: str = "chunks", schema: str = CHUNKS, path: str = "relative_path") -> DataFrame:
+    """Chunks (or facts) of the latest version of each file; those of versions before it are left out."""
+    latest = _latest(store.read_or_empty("files", FILES)).withColumnRenamed("relative_path", path)
+    return store.read_or_empty(table, schema).join(latest, [path, "batch"], "left_semi")
+
+
 def ingest_stream(files: DataFrame, store: S.FrameStore, enrich: Callable[[DataFrame], DataFrame] | None = None, checkpoint: str | None = None, interval: str | None = None):
     """Starts the index job over a stream of ``(relative_path, text)``.
 
-    Every micro-batch leaves out files whose digest is known and chunks that were processed, chunks and enriches the
-    rest, and commits all tables as one generation; ``checkpoint`` resumes it, ``query.stop()`` cancels it.
+    Every micro-batch leaves out files whose digest is the known one, chunks and enriches the rest, and appends its rows
+    to ``files``, ``chunks``, ``facts`` and ``index_status``, each with the batch's number, as one generation; what the
+    store held is not written again, and other tables in it are left alone.  A batch that is given again after a failure
+    appends nothing.  ``indexed`` shows what counts now; ``checkpoint`` resumes the job, ``query.stop()`` cancels it.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
-        known = store.current() is not None
-        digests = C.file_digests(batch).dropDuplicates(["relative_path"])
-        fresh = C.changed(digests, store.read("files")) if known else digests
-        rows = C.chunk_lines(batch.join(fresh.select("relative_path"), "relative_path", "left_semi"))
-        rows = C.not_processed(rows, store.read("chunks")) if known else rows
-        facts = enrich(rows) if enrich else None
-        tables = {"files": C.upsert(store.read("files"), fresh, "relative_path") if known else fresh, "chunks": store.read("chunks").unionByName(rows) if known else rows}
-        if facts is not None:
-            tables["facts"] = store.read("facts").unionByName(facts) if known else facts
-        store.commit(tables)
+    def step(batch: DataFrame, number: int) -> None:
+        began = time.monotonic()
+        status = store.read_or_empty("index_status", STATUS)
+        if status.filter(F.col("batch") == number).take(1):
+            return
+        own = batch.dropDuplicates(["relative_path"])
+        digests = C.file_digests(own)
+        fresh = C.changed(digests, indexed_files(store).drop("batch"))
+        rows = C.chunk_lines(own.join(fresh.select("relative_path"), "relative_path", "left_semi")).withColumn("batch", F.lit(number).cast("bigint"))
+        store.stage({}, {"files": fresh.withColumn("batch", F.lit(number).cast("bigint")), "chunks": rows})
+        held = lambda table: store.read(table, staged=True).filter(F.col("batch") == number)
+        facts = 0
+        if enrich:
+            store.stage({}, {"facts": enrich(held("chunks").drop("batch")).withColumn("batch", F.lit(number).cast("bigint"))})
+            facts = held("facts").count()
+        all_files, new = digests.count(), held("files").count()
+        row = (number, new, all_files - new, held("chunks").count(), facts, time.monotonic() - began)
+        store.commit(append={"index_status": batch.sparkSession.createDataFrame([row], STATUS)})
 
     writer = files.writeStream.foreachBatch(step)
     writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def throughput(status: DataFrame) -> DataFrame:
+    """One row of what an index job did: batches, files, chunks and facts, and chunks per second (0 if no time passed)."""
+    rows = status.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "unchanged", "chunks", "facts")], F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"), F.count("*").alias("batches"))
+    return rows.withColumn("chunks_per_second", F.when(F.col("seconds") > 0, F.round(F.col("chunks") / F.col("seconds"), 6)).otherwise(0.0))
+
+
 def read_folder(spark: SparkSession, path: str, schema: str, files_at_once: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
