@@ -199,8 +199,8 @@ def test_overlay_shows_pending_rows(spark):
 
 
 def test_engine_looks_up_embeds_stages_and_rebuilds(spark, tmp_path):
-    e = Engine(spark, f"file://{tmp_path}/engine")
-    e.remember(spark.createDataFrame([(k, k, f"text {k}", {}) for k in range(4)] + [(9, 9, "WAXSM1 inner", {})], "ord long, ts_ms long, text string, metadata map<string,string>"))
+    e = Engine(spark, f"file://{tmp_path}/engine", internal=("OWN1",))
+    e.remember(spark.createDataFrame([(k, k, f"text {k}", {}) for k in range(4)] + [(9, 9, "OWN1 inner", {})], "ord long, ts_ms long, text string, metadata map<string,string>"))
     assert {r.frame_id: r.text for r in e.contents([1, 3, 4, 77]).collect()} == {1: "text 1", 3: "text 3"} and "text" not in e.frames([1], payload=False).columns
     vectors = lambda *rows: spark.createDataFrame(list(rows), "frame_id long, embedding array<double>")
     e.put_embeddings(vectors((0, [1.0, 0.0]), (1, [0.0, 1.0])))

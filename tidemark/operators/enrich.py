@@ -217,6 +217,43 @@ def clean_purpose(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?i)^(this|the) (blueprint|asset|class|graph) (is|does|handles|implements|defines|represents)( an?| the)? ", ""), r"\.+$", "")
 
 
+def purpose_prompt(facts: DataFrame) -> DataFrame:
+    """``(entity, structural_hash, prompt)``: what a model is asked for an asset's one-line purpose."""
+    line = lambda label, c, n: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(c, 1, n), ", ")))
+    parts = F.array_compact(F.array(F.lit("Say in one sentence what this asset does."), F.concat(F.lit("Name: "), "asset_name"), F.concat(F.lit("Kind: "), "kind"), F.concat(F.lit("Folder: "), folder_hint(F.col("asset_path"))), line("Events", F.col("events"), 20), line("Calls", F.col("calls"), 30)))
+    return facts.select("entity", "structural_hash", F.array_join(parts, "\n").alias("prompt"))
+
+
+def generate_purposes(prompts: DataFrame, cache: DataFrame, generate: Callable[[str], str]) -> DataFrame:
+    """``(entity, structural_hash, purpose)`` for every row of ``prompts(entity, structural_hash, prompt)``.
+
+    Only assets that the cache does not hold with the same hash go to the model; written as the next cache, the result
+    lets a later run, or one that broke off, begin where this one ended.
+    """
+    known = prompts.select("entity", "structural_hash").join(cache.select("entity", "structural_hash", "purpose").dropDuplicates(["entity", "structural_hash"]), ["entity", "structural_hash"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"entity": pdf["entity"], "structural_hash": pdf["structural_hash"], "answer": [generate(x) for x in pdf["prompt"]]})
+
+    asked = prompts.select("entity", "structural_hash", "prompt").join(known, ["entity", "structural_hash"], "left_anti")
+    made = asked.mapInPandas(run, "entity string, structural_hash string, answer string")
+    return known.unionByName(made.select("entity", "structural_hash", clean_purpose(F.col("answer")).alias("purpose")))
+
+
+def stitch(facts: DataFrame, recalled: DataFrame, prefixes: list[str], keywords: list[str]) -> DataFrame:
+    """``(entity, attribute, value)``: facts under the prefixes and recalled texts that hold a keyword, each line once.
+
+    ``recalled(frame_id, text)`` are what queries brought up; they become facts ``frame:<id>``, ``text``.
+    """
+    own = facts.filter(reduce(lambda a, b: a | b, [F.startswith("entity", F.lit(p)) for p in prefixes], F.lit(False))).select("entity", "attribute", "value")
+    texts = recalled.select(F.concat(F.lit("frame:"), F.col("frame_id").cast("string")).alias("entity"), F.lit("text").alias("attribute"), F.col("text").alias("value"))
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
+    line = F.concat_ws("|", norm("entity"), norm("attribute"), norm("value"))
+    rows = keyword_facts(own.unionByName(texts), keywords).withColumn("line", line)
+    return rows.groupBy("line").agg(F.min(F.struct("entity", "attribute", "value")).alias("first")).select("first.*")
+
+
 def embedding_text(facts: DataFrame) -> DataFrame:
     """``(entity, text)``: name, kind, purpose, up to three chains, up to fifteen calls, events and casts in one line."""
     joined = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import WHITE, flag, literal_array, specificity
-from tidemark.functions.text import words as white_words
+from tidemark.functions.text import WHITE, flag, specificity
 
 TIER_TOKENS = {"full": 100, "gist": 25, "micro": 8}
 TIER_ITEMS = {"full": (8, "\n"), "gist": (3, " "), "micro": (1, " ")}
@@ -93,6 +93,17 @@ def access_stats(log: DataFrame, active: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("frame_id").agg(F.least(F.count("*"), F.lit((1 << 32) - 1)).alias("accesses"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
+def merge_access(*stats: DataFrame) -> DataFrame:
+    """Access statistics of several sources (exports, another log) as one."""
+    rows = reduce(DataFrame.unionByName, stats)
+    return rows.groupBy("frame_id").agg(F.least(F.sum("accesses"), F.lit((1 << 32) - 1)).alias("accesses"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+
+
+def prune_access(stats: DataFrame, active: DataFrame) -> DataFrame:
+    """The statistics of frames that are still there."""
+    return stats.join(active.select("frame_id").distinct(), "frame_id", "left_semi")
+
+
 def importance(age_ms: Column, accesses: Column, since_ms: Column, weights: tuple[float, float, float] = (0.3, 0.4, 0.3), hours: tuple[float, float] = (168.0, 24.0)) -> Column:
     """Age, use and time since the last use, weighed; frames that were never used have only their age."""
     hour = 3_600_000.0
@@ -130,10 +141,3 @@ def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     windowed = events.groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events"))
     return windowed.select("user_id", "first_ts", "last_ts", "events")
 
-
-def has_word(tokens: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(tokens, literal_array(wanted))
-
-
-def word_count(text: Column) -> Column:
-    return F.size(white_words(text))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import any_of
 from tidemark.operators.common import checkpointed, small
 
 
@@ -135,13 +136,14 @@ def lookup(frames: DataFrame, ids: DataFrame, payload: bool = True) -> DataFrame
     return rows.join(small(ids.select("frame_id").distinct()), "frame_id", "left_semi")
 
 
-#: What the payloads of facts and embeddings begin with in a store that keeps them among the texts.
-INTERNAL = ("WAXSM1", "WAXEM1", "WAXEM2")
+def is_internal(text: Column, marks: tuple[str, ...]) -> Column:
+    """True for payloads that begin with one of a store's own marks and are no user's text."""
+    return F.coalesce(any_of([F.startswith(text, F.lit(m)) for m in marks]), F.lit(False)) if marks else F.lit(False)
 
 
-def is_internal(text: Column) -> Column:
-    """True for payloads that are no user's text."""
-    return F.coalesce(F.substring(text, 1, 6).isin(*INTERNAL), F.lit(False))
+def active(frames: DataFrame) -> DataFrame:
+    """Frames that are not deleted, superseded ones included."""
+    return frames.filter("status = 0")
 
 
 def pending(log: DataFrame, committed_seq: int) -> DataFrame:

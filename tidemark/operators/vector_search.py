@@ -115,6 +115,17 @@ def embed_texts(frames: DataFrame, encoder: Callable[[list[str]], list[list[floa
     return frames.join(made, "text").select("frame_id", "embedding")
 
 
+def embed_with_memo(frames: DataFrame, memo: DataFrame, encoder: Callable[[list[str]], list[list[float]]], batch: int = 32) -> tuple[DataFrame, DataFrame]:
+    """``(frame_id, embedding)`` and the next memo ``(digest, embedding)``; texts whose digest is known are not sent again."""
+    digest = F.sha2(F.encode("text", "UTF-8"), 256)
+    rows = frames.select("frame_id", "text", digest.alias("digest"))
+    known = memo.select("digest", "embedding").dropDuplicates(["digest"])
+    new = rows.join(known, "digest", "left_anti").groupBy("digest").agg(F.min("frame_id").alias("frame_id"), F.min("text").alias("text"))
+    made = embed_texts(new.select("frame_id", "text"), encoder, batch).join(new.select("frame_id", "digest"), "frame_id").select("digest", "embedding")
+    after = known.unionByName(made)
+    return rows.join(after, "digest").select("frame_id", "embedding"), after
+
+
 def latest_valid(journal: DataFrame) -> DataFrame:
     """``journal(seq, frame_id, embedding)``: the last usable vector of each frame; its length is that of the first usable one."""
     good = journal.filter((F.size("embedding") > 0) & is_finite(F.col("embedding")))

@@ -65,7 +65,7 @@ ASKED = f"""asked AS (SELECT query_id, unnest(CASE WHEN len(kept) = 0 THEN token
 
 @query("SELECT doc_id AS frame_id FROM documents WHERE doc_id % 13 <> 0")
 def scan_filter_status(spark, d):
-    return T.frames(spark, d).filter("status = 0").select("frame_id")
+    return store.active(T.frames(spark, d)).select("frame_id")
 
 
 @query(f"WITH {FRAMES} SELECT frame_id FROM frames WHERE status = 0 AND superseded_by IS NULL AND ts_ms >= 600000 AND ts_ms < 30000000 AND lang = 'en' AND source IN ('src1') AND frame_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -77,7 +77,8 @@ def frame_filter_labels(spark, d):
 
 @query(f"WITH {FRAMES} SELECT frame_id, ts_ms FROM frames WHERE ts_ms >= 1200000 AND ts_ms < 6000000")
 def time_range(spark, d):
-    return T.frames(spark, d).filter((F.col("ts_ms") >= 1_200_000) & (F.col("ts_ms") < 6_000_000)).select("frame_id", "ts_ms")
+    frames = T.frames(spark, d)
+    return fusion.filter_frames(frames.select("frame_id", "ts_ms"), frames, after_ms=1_200_000, before_ms=6_000_000, deleted=True, superseded=True)
 
 
 EAV = """eav AS (
@@ -221,11 +222,6 @@ def vec_add_sub_scale(spark, d):
     return p.select(F.col("frame_id").alias("vec_id"), total(vectors.add(a, b)).alias("added"), total(vectors.subtract(a, b)).alias("subtracted"), total(vectors.scale(a, 2.5)).alias("scaled"), F.round(vectors.dot(a, b), 6).alias("dot"), F.round(vectors.distance(a, b), 6).alias("distance"), F.round(vectors.cosine(a, b), 6).alias("cosine"))
 
 
-@query()
-def hash_embedding(spark, d):
-    return vector_search.hash_embedding(T.frames(spark, d).select("frame_id", "text"))
-
-
 @query("""WITH j AS (SELECT event_id AS seq, user_id AS frame_id, CASE WHEN event_type = 'error' THEN [1.0] WHEN event_type = 'view' THEN [] ELSE [value, value + 1] END AS v FROM events),
 good AS (SELECT * FROM j WHERE len(v) > 0), dim AS (SELECT len(arg_min(v, seq)) AS n FROM good), fit AS (SELECT good.* FROM good, dim WHERE len(v) = n)
 SELECT frame_id, round(v[1], 6) AS first, len(v) AS dim FROM fit QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY seq DESC) = 1""")
@@ -429,18 +425,6 @@ def answer_extract(spark, d):
     return answers.extract_answers(items, asked)
 
 
-@query()
-def lexical_sentence(spark, d):
-    items, asked = _recalled(spark, d)
-    return answers.best_sentences(items, asked)
-
-
-@query()
-def answer_prompts(spark, d):
-    items, asked = _recalled(spark, d)
-    return context.answer_prompt(items, asked).select("query_id", "prompt_tokens", F.sha2("prompt", 256).alias("digest"))
-
-
 @query()
 def intent_rerank(spark, d):
     items, asked = _recalled(spark, d)
@@ -532,12 +516,6 @@ def maintenance_gate(spark, d):
     return rows.select("event_id", store.MaintenanceGate(every=4).outcome().alias("outcome"))
 
 
-@query("SELECT max(turn) AS turn, conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
-def latest_handoff(spark, d):
-    turns = T.read(spark, d, "conversations")
-    return turns.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
-
-
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS frame_id, doc_id AS ts_ms, sha256(text) AS sha256, lang || ',' || source AS labels FROM documents")
 def frame_append(spark, d):
     docs = T.read(spark, d, "documents")
@@ -695,11 +673,15 @@ def graph_chunks(spark, d):
     return graph.chunk(graph.compress(T.graph_documents(spark, d)), 60).drop("text")
 
 
-@query("SELECT l_orderkey AS doc_id, 'Patched EventGraph: 1 nodes added, 1 links added' AS summary FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS doc_id, 'Patched EventGraph: 1 nodes added, 1 links added' AS summary, count(*) + 2 AS nodes, count(*) + 1 AS links, '0' AS link_from, true AS known FROM lineitem GROUP BY l_orderkey")
 def graph_patch(spark, d):
     docs = T.graph_documents(spark, d)
     intent = '{"graphs": [{"name": "EventGraph", "add_nodes": [{"ref": "b", "type": "Branch"}], "add_links": [{"from": "existing:start", "from_pin": "then", "to": "b", "to_pin": "execute"}]}]}'
-    return graph.patch(docs, docs.select("doc_id", F.lit(intent).alias("intent"))).select("doc_id", "summary")
+    made = graph.patch(docs, docs.select("doc_id", F.lit(intent).alias("intent")))
+    shape = "struct<graphs:array<struct<nodes:array<struct<node_guid:string>>,links:array<struct<from_node_guid:string,to_node_guid:string>>>>>"
+    g = F.from_json("json", shape)["graphs"][0]
+    last = F.element_at(g["links"], -1)
+    return made.select("doc_id", "summary", F.size(g["nodes"]).cast("bigint").alias("nodes"), F.size(g["links"]).cast("bigint").alias("links"), last["from_node_guid"].alias("link_from"), (F.element_at(g["nodes"], -1)["node_guid"] == last["to_node_guid"]).alias("known"))
 
 
 @query("SELECT 'f' || doc_id || '.h' AS relative_path, source || '.h' AS include FROM documents UNION ALL SELECT 'f' || doc_id || '.h', lang FROM documents")

@@ -19,9 +19,10 @@ FACT_LOG = "seq long, op string, entity string, attribute string, value string,
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, internal: tuple[str, ...] = ()):
         self.spark = spark
         self.store = store.FrameStore(spark, root) if root else None
+        self.internal = internal  # what payloads that are no user's text begin with
         self.waiting: list[tuple] = []  # facts that are staged, not committed
 
     # ---- searching
@@ -93,7 +94,7 @@ class Engine:
 
     def contents(self, ids: list[int] | DataFrame) -> DataFrame:
         """``(frame_id, text)`` of frames, none of them an internal payload."""
-        return self.frames(ids).filter(~store.is_internal(F.col("text"))).select("frame_id", "text")
+        return self.frames(ids).filter(~store.is_internal(F.col("text"), self.internal)).select("frame_id", "text")
 
     def put_embeddings(self, rows: DataFrame, identity: str = "") -> int:
         """Appends vectors ``(frame_id, embedding)`` of known frames; they must be finite and of the length held so far."""
