@@ -48,15 +48,20 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def common_subsequence(item: list[int], region: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel row updates."""
+def places_of(item: list[int]) -> dict[int, int]:
+    """Where each word of an item stands in it, as bits."""
     places: dict[int, int] = {}
     for k, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    row = full
+    return places
+
+
+def common_subsequence(item: list[int], region: list[int], places: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit-parallel row updates."""
+    get = (places_of(item) if places is None else places).get
+    row = full = (1 << len(item)) - 1
     for w in region:
-        hit = row & places.get(w, 0)
+        hit = row & get(w, 0)
         if hit:
             row = ((row + hit) | (row - hit)) & full
     return len(item) - row.bit_count()
@@ -67,7 +72,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[object, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.words, self.bags, self.answers, self.blocks = [], [], [], [], []
+        self.ids, self.words, self.bags, self.answers, self.blocks, self.places, self.answer_places = [], [], [], [], [], [], []
         for key, text in rows:
             words = words_of(text)
             if not words:
@@ -78,6 +83,8 @@ class Items:
             self.words.append(ids)
             self.bags.append(np.unique(ids))
             self.answers.append([self.vocabulary[w] for w in sentences[-1]])
+            self.places.append(places_of(ids))
+            self.answer_places.append(places_of(self.answers[-1]))
             need = -(-(len(ids) + _BLOCK - 1) // _BLOCK)
             self.blocks.append(next((m for m in _SIZES if m >= need), need))
 
@@ -307,8 +314,13 @@ def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits)
             out.append((m, pick, np.ascontiguousarray(vectors.T), limits.lcs_with_answer * min(len(items.words[k]) for k in pick)))
         return out
 
-    def candidates(texts: list[np.ndarray], kinds: list, table: np.ndarray):
-        """``(text, item, cosine, first word, end)`` of each window that comes near an item."""
+    def candidates(texts: list[np.ndarray], items: Items, kinds: list, table: np.ndarray):
+        """``(text, item, cosine, first word, end)`` of each window near an item that holds enough of its words.
+
+        What is counted is the window and a block on either side, as far as the text goes; where only a piece of the text
+        is at hand, a block beyond it counts as full.
+        """
+        own_word = np.zeros(len(table) + 1, bool)  # the last one stands for words of no item
         for group in _segments(texts, max(m for m, *_ in kinds)):
             words = np.concatenate([texts[k][s * _BLOCK : (s + b) * _BLOCK] for k, s, b, _ in group])
             vectors = block_vectors(words, table)
@@ -324,11 +336,20 @@ def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits)
                 of, first, last = of[enough], first[enough], last[enough]
                 window = (total[last] - total[first]).astype(np.float32)
                 norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
-                near = window @ side
-                for i, j in zip(*np.nonzero(near >= limits.cosine * norm[:, None]), strict=True):
-                    k, s, *_ = group[of[i]]
-                    at = int(first[i] - base[of[i]] + s) * _BLOCK
-                    yield k, int(pick[j]), float(near[i, j] / norm[i]), at, at + int(last[i] - first[i]) * _BLOCK
+                near = (window @ side).T
+                low, high = np.maximum(first - 1, base[of]), np.minimum(last + 1, base[of + 1])
+                cut = np.array([(s > 0, s + b < len(texts[k]) // _BLOCK) for k, s, b, _ in group], bool)[of]
+                spare = _BLOCK * ((cut[:, 0] & (first == base[of])).astype(int) + (cut[:, 1] & (last == base[of + 1])))
+                close = near >= limits.cosine * norm
+                for j in np.flatnonzero(close.any(axis=1)):
+                    item = int(pick[j])
+                    own_word[items.bags[item]] = True
+                    met = np.concatenate([[0], np.cumsum(own_word[words].reshape(-1, _BLOCK).sum(axis=1))])
+                    own_word[items.bags[item]] = False
+                    for i in np.flatnonzero(close[j] & (met[high] - met[low] + spare >= limits.lcs_with_answer * len(items.words[item]))):
+                        k, s, *_ = group[of[i]]
+                        at = int(first[i] - base[of[i]] + s) * _BLOCK
+                        yield k, item, float(near[j, i] / norm[i]), at, at + int(last[i] - first[i]) * _BLOCK
 
     def run(batches):
         table, items, anchors = shared.value
@@ -339,7 +360,7 @@ def _leaks(encoded: DataFrame, items: Items, table: np.ndarray, limits: Limits)
         for batch in batches:
             texts = [np.frombuffer(raw.as_py(), "<i4") for raw in batch.column(3)]
             best: dict[tuple[int, int], tuple] = {}
-            for k, item, cosine, start, end in candidates(texts, kinds, table):
+            for k, item, cosine, start, end in candidates(texts, items, kinds, table):
                 _judge(best, items, k, item, cosine, texts[k], start, end, limits)
             for k, item, start, end in _anchored(texts, items, anchors):
                 _judge(best, items, k, item, None, texts[k], start, end, limits, table)
@@ -359,12 +380,15 @@ def _judge(best: dict[tuple[int, int], tuple], items: Items, text: int, item: in
     if key in best and best[key][0] == 1.0 and best[key][4]:
         return
     region = words[max(0, start - _BLOCK) : end + _BLOCK]
-    if np.isin(region, items.bags[item]).sum() < limits.lcs_with_answer * len(own):
-        return  # no subsequence can be long enough
+    if cosine is None and np.isin(region, items.bags[item]).sum() < limits.lcs_with_answer * len(own):
+        return  # no subsequence can be long enough; windows with a cosine were counted before
+    known = region[region >= 0].tolist()
+    lcs = common_subsequence(own, known, items.places[item]) / len(own)
+    if lcs < limits.lcs_with_answer:
+        return
     region = region.tolist()
-    lcs = common_subsequence(own, region) / len(own)
     exact = lcs == 1.0 and any(region[k : k + len(own)] == own for k in range(len(region) - len(own) + 1))
-    answer = common_subsequence(items.answers[item], region) / len(items.answers[item])
+    answer = common_subsequence(items.answers[item], known, items.answer_places[item]) / len(items.answers[item])
     leak = exact if len(own) < limits.least_words else lcs >= limits.lcs or lcs >= limits.lcs_with_answer and answer >= limits.answer
     if leak and cosine is None:
         at = words[start:end]
