@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import catalog_more  # noqa: F401  registers further queries
+from tidemark.plans import catalog_more, catalog_store  # noqa: F401  register further queries
 from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"

@@ -1,9 +1,10 @@
+import base64
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import chunks, facts, store
+from tidemark.operators import chunks, facts, maintain, store
 from tidemark.plans.engine import Engine
 from tidemark.streaming import streams
 
@@ -225,3 +226,31 @@ def test_engine_looks_up_embeds_stages_and_rebuilds(spark, tmp_path):
     made = e.rebuild()
     assert made["facts"].count() == 1 and made["live"].count() == 5 and made["vectors"].count() == 2 and made["surrogate_map"].count() == 0
     assert {r["table"] for r in e.report().collect()} == {"frames", "embeddings", "fact_log", "files", "chunks", "index_status"}
+
+
+def test_byte_pair_chunks_and_checks(spark, tmp_path):
+    path = tmp_path / "bytes.vocab"
+    path.write_text("\n".join(f"{base64.b64encode(bytes([b])).decode()} {b}" for b in range(256)) + "\nbroken line\n")
+    frames = spark.createDataFrame([(1, "abcdefghij"), (2, "é"), (3, ""), (4, None)], "frame_id long, text string")
+    got = {(r.frame_id, r.chunk): (r.start, r.end, r.text) for r in chunks.chunk_bpe(frames, str(path), 4, 1).collect()}
+    assert got == {(1, 0): (0, 4, "abcd"), (1, 1): (3, 7, "defg"), (1, 2): (6, 10, "ghij"), (2, 0): (0, 2, "é")}
+    assert streams.checked_name("a_B-1") == "a_B-1" and streams.checked_range("n", 3, 1, 3) == 3
+    for bad in ("a/b", "ü", "a b"):
+        with pytest.raises(ValueError, match="no name"):
+            streams.checked_name(bad)
+    for bad in (0, 4, True, 1.5):
+        with pytest.raises(ValueError, match="whole number"):
+            streams.checked_range("n", bad, 1, 3)
+
+
+def test_marginal_relevance_against_all_pairs():
+    rnd = random.Random(6)
+    for _ in range(200):
+        n = rnd.randrange(1, 14)
+        bags = [{rnd.randrange(9) for _ in range(rnd.randrange(6))} for _ in range(n)]
+        scores = [rnd.choice([0.0, 1.0, 2.5, rnd.random() * 5]) for _ in range(n)]
+        chosen = []
+        while len(chosen) < min(n, 8):
+            worth = {i: scores[i] * (1 - max([len(bags[i] & bags[j]) / len(bags[i] | bags[j]) if bags[i] & bags[j] else 0.0 for j in chosen], default=0.0)) for i in range(n) if i not in chosen}
+            chosen.append(max(worth, key=lambda i: (worth[i], scores[i], -i)))
+        assert maintain._pick(scores, bags, 8) == chosen

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
+from tidemark.operators.common import made_once
 
 # The patterns of each kind of answer.
 _NAME = r"[A-Z][A-Za-z]*(?:['\-][A-Z][A-Za-z]*)?"
@@ -27,19 +28,25 @@ def _share(hits: Column, of: Column) -> Column:
     return F.size(hits) / F.greatest(F.size(of), F.lit(1))
 
 
+def analysed(text: Column, prefix: str) -> dict[str, Column]:
+    """What relevance compares of a text, to be made once for it."""
+    return {f"{prefix}terms": F.array_distinct(t.normalized_terms(text)), f"{prefix}entities": t.entity_terms(text), f"{prefix}years": t.year_terms(text), f"{prefix}dates": t.date_keys(text)}
+
+
 def relevance(query: Column, text: Column, base: Column) -> Column:
     """The item's score and what it shares with the query: terms, entities, years and dates."""
-    terms, own = F.array_distinct(t.normalized_terms(query)), F.array_distinct(t.normalized_terms(text))
+    return compared([*analysed(query, "").values()], [*analysed(text, "").values()], base)
+
+
+def compared(asked: list[Column], found: list[Column], base: Column) -> Column:
+    """Relevance of analysed texts: terms, entities, years and dates of each."""
+    terms, own = asked[0], found[0]
     overlap = F.array_intersect(terms, own)
     score = base + F.when((F.size(terms) > 0) & (F.size(own) > 0), _share(overlap, terms) * 0.70 + _share(overlap, own) * 0.30).otherwise(0.0)
-    for asked, found, gain, loss, only_if_any in (
-        (t.entity_terms(query), t.entity_terms(text), 0.95, 0.70, False),
-        (t.year_terms(query), t.year_terms(text), 1.45, 1.35, True),
-        (t.date_keys(query), t.date_keys(text), 1.25, 1.10, True),
-    ):
-        hits = F.array_intersect(asked, found)
-        missed = (F.size(hits) == 0) & ((F.size(found) > 0) if only_if_any else F.lit(True))
-        score += F.when(F.size(asked) > 0, _share(hits, asked) * gain - F.when(missed, loss).otherwise(0.0)).otherwise(0.0)
+    for wanted, held, gain, loss, only_if_any in zip(asked[1:], found[1:], (0.95, 1.45, 1.25), (0.70, 1.35, 1.10), (False, True, True), strict=True):
+        hits = F.array_intersect(wanted, held)
+        missed = (F.size(hits) == 0) & ((F.size(held) > 0) if only_if_any else F.lit(True))
+        score += F.when(F.size(wanted) > 0, _share(hits, wanted) * gain - F.when(missed, loss).otherwise(0.0)).otherwise(0.0)
     return score
 
 
@@ -49,10 +56,13 @@ def _one(kind: str, value: Column, score: Column) -> Column:
 
 def candidates(items: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, ord, kind, value, score)`` of ``items(query_id, position, score, text)``."""
-    rows = items.join(queries.select("query_id", "query"), "query_id").withColumn("text", t.clean_text(F.col("text"))).filter("text <> ''")
-    text, q = F.col("text"), F.col("query")
-    rows = rows.withColumn("base", relevance(q, text, F.col("score").cast("double")))
-    base, terms = F.col("base"), F.array_distinct(t.normalized_terms(q))
+    asked = made_once(queries.select("query_id", "query"), **analysed(F.col("query"), "_q_"))
+    cleaned = items.withColumn("text", t.clean_text(F.col("text"))).filter("text <> ''")
+    text = F.col("text")
+    rows = made_once(cleaned, **analysed(text, "_t_"), _dates=t.date_literals(text)).join(asked, "query_id")
+    kinds = ("terms", "entities", "years", "dates")
+    rows = made_once(rows, base=compared([F.col(f"_q_{k}") for k in kinds], [F.col(f"_t_{k}") for k in kinds], F.col("score").cast("double")))
+    base, terms = F.col("base"), F.col("_q_terms")
 
     def owned(name: Column, topic: Column) -> Column:
         own = F.array_distinct(t.normalized_terms(topic))
@@ -61,7 +71,7 @@ def candidates(items: DataFrame, queries: DataFrame) -> DataFrame:
         return F.struct(F.lit("owner").alias("kind"), F.trim(name).alias("value"), (score + F.when(F.contains(t.ascii_lower(topic), F.lit("deployment readiness")), 0.20).otherwise(0.0)).alias("score"))
 
     first = lambda pattern, group=1: F.trim(F.regexp_extract(text, pattern, group))
-    dates = F.coalesce(F.get(t.date_literals(text), F.lit(0)), F.lit(""))
+    dates = F.coalesce(F.get("_dates", F.lit(0)), F.lit(""))
     launches = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(LAUNCH), F.lit(0)), t.date_literals))
     allergy = first(ALLERGY)
     found = F.concat(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import chunk_id, fnv1a64_long
 from tidemark.functions.text import language_of, words
+from tidemark.operators import bpe
+from tidemark.operators.common import made_once
 
 
 def ranges(n: Column, target: int, overlap: int) -> Column:
@@ -30,6 +32,14 @@ def chunk_words(frames: DataFrame, target: int = 400, overlap: int = 40) -> Data
     return cut.select("frame_id", "chunk", F.col("r.start").alias("start"), F.col("r.end").alias("end"), text.alias("text"))
 
 
+def chunk_bpe(frames: DataFrame, vocabulary: str, target: int = 400, overlap: int = 40) -> DataFrame:
+    """``(frame_id, chunk, start, end, text)`` over byte-pair tokens of a vocabulary file; texts that fit stay untouched."""
+    rows = made_once(frames.select("frame_id", "text"), ids=bpe.encode(F.col("text"), vocabulary)).filter(F.size("ids") > 0)
+    cut = rows.select("frame_id", "text", "ids", F.size("ids").alias("n"), F.posexplode(ranges(F.size("ids"), target, overlap)).alias("chunk", "r"))
+    part = bpe.decode(F.slice("ids", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), vocabulary)
+    return cut.select("frame_id", "chunk", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.when(F.col("n") <= target, F.col("text")).otherwise(part).alias("text"))
+
+
 _KEYWORD = re.compile(r"(?:class|struct|enum|namespace) \s*([\w:]+)", re.A)
 _CALL = re.compile(r"([\w:~]+)\s*\(", re.A)
 _FLOW = re.compile(r"(?:if|for|while|switch)[ (]|return ")

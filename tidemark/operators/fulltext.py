@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import SEARCH_STOP_WORDS, ascii_lower
-from tidemark.operators.common import small, top_k
+from tidemark.operators.common import checkpointed, small, top_k
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -34,7 +34,8 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 def postings(frames: DataFrame, tokenizer: Callable[[Column], Column], wanted: DataFrame | None = None) -> DataFrame:
     """``(frame_id, length, token, tf)``; with ``wanted(token)`` only of these tokens, dropped before any shuffle if few."""
-    rows = frames.select("frame_id", tokenizer(F.col("text")).alias("tokens")).select("frame_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    rows = frames.select("frame_id", tokenizer(F.col("text")).alias("tokens")).select("frame_id", F.size("tokens").alias("length"), "tokens")
+    rows = rows.select("frame_id", "length", F.explode("tokens").alias("token"))  # the length is there by now, so no row carries the whole text's tokens
     if wanted is not None:
         rows = rows.join(small(wanted), "token", "left_semi")
     return rows.groupBy("frame_id", "length", "token").agg(F.count("*").alias("tf"))
@@ -52,20 +53,22 @@ def document_frequency(frames: DataFrame, tokenizer: Callable[[Column], Column]
 def bm25_scores(frames: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(query_id, frame_id, score)`` of all frames that share a token with the query; repeats in a query count once."""
     asked = query_tokens(queries).select("query_id", "token")
-    found = postings(frames, unicode_tokens, asked.select("token").distinct())
+    found = checkpointed(postings(frames, unicode_tokens, asked.select("token").distinct()))  # made once, read for df and for scores
     weight = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = found.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_size(frames, unicode_tokens))).withColumn("idf", F.when(weight <= 0, 1e-6).otherwise(weight))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return found.join(df, "token").withColumn("part", part).join(small(asked), "token").groupBy("query_id", "frame_id").agg(F.sum("part").alias("score"))
 
 
-def tfidf_scores(frames: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, frame_id, score)``, each token as often as the query holds it."""
+def tfidf_scores(frames: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``(query_id, frame_id, score)``, each token as often as the query holds it; of ``pairs(query_id, frame_id)`` only, if given."""
     asked = query_tokens(queries)
-    found = postings(frames, ascii_tokens, asked.select("token").distinct())
+    found = checkpointed(postings(frames, ascii_tokens, asked.select("token").distinct()))
     df = found.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(frames.agg(F.count("*").alias("n"))))
     part = F.col("tf") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    return found.join(df, "token").withColumn("part", part).join(small(asked), "token").groupBy("query_id", "frame_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    weighed = found.join(df, "token").withColumn("part", part)
+    met = weighed.join(small(asked), "token") if pairs is None else pairs.join(small(asked), "query_id").join(weighed, ["frame_id", "token"])
+    return met.groupBy("query_id", "frame_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def best(scores: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
@@ -85,7 +88,7 @@ def tfidf_search(frames: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 def rescored_search(frames: DataFrame, queries: DataFrame, candidates: int = 100, k: int = 10) -> DataFrame:
     """TF-IDF over the best BM25 candidates only."""
     first = bm25_search(frames, queries, candidates).select("query_id", "frame_id")
-    return best(tfidf_scores(frames, queries).join(first, ["query_id", "frame_id"]), k)
+    return best(tfidf_scores(frames, queries, first), k)
 
 
 def best_field_scores(frames: DataFrame, queries: DataFrame, text_fields: dict[str, float], keyword_fields: dict[str, float] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import short_path
+from tidemark.operators.common import made_once
 from tidemark.schema import GRAPH_DOCUMENT
 
 # Names in exported graphs.
@@ -81,11 +82,6 @@ def asset_kind(name: Column, events: Column) -> Column:
     )
 
 
-def _made_once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """The rows with columns that are computed here and not again wherever they are used, lambdas included."""
-    return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")).select("*", "_made.*").drop("_made")
-
-
 def structural_facts(raw: DataFrame, column: str = "json", depth: int = 16) -> DataFrame:
     """One row of facts per graph document, all from array functions over the parsed document.
 
@@ -96,11 +92,11 @@ def structural_facts(raw: DataFrame, column: str = "json", depth: int = 16) -> D
     graphs = F.coalesce(F.col("doc.graphs"), F.array().cast(GRAPH_DOCUMENT["graphs"].dataType))
     listed = F.flatten(F.transform(graphs, lambda g, i: F.transform(F.coalesce(g["nodes"], F.array().cast(GRAPH_DOCUMENT["graphs"].dataType.elementType["nodes"].dataType)), lambda n: _node(n, i))))
     links = F.flatten(F.transform(graphs, lambda g, i: F.transform(F.coalesce(g["links"], F.array().cast(GRAPH_DOCUMENT["graphs"].dataType.elementType["links"].dataType)), lambda x: F.struct(i.alias("g"), _text(x["from_node_guid"]).alias("a"), _text(x["to_node_guid"]).alias("b"), _text(x["from_pin_name"]).alias("pin")))))
-    rows = _made_once(rows, graphs=F.transform(graphs, lambda g: _text(g["name"])), listed=listed, links=links)
-    rows = _made_once(rows, guids=F.transform("listed", lambda n: n["guid"]), steps=F.filter("links", lambda x: (x["a"] != "") & (x["b"] != "") & is_exec_pin(x["pin"])))
-    rows = _made_once(rows, nodes=F.filter("listed", lambda n, i: (n["guid"] != "") & (F.array_position("guids", n["guid"]) == i + 1)))
+    rows = made_once(rows, graphs=F.transform(graphs, lambda g: _text(g["name"])), listed=listed, links=links)
+    rows = made_once(rows, guids=F.transform("listed", lambda n: n["guid"]), steps=F.filter("links", lambda x: (x["a"] != "") & (x["b"] != "") & is_exec_pin(x["pin"])))
+    rows = made_once(rows, nodes=F.filter("listed", lambda n, i: (n["guid"] != "") & (F.array_position("guids", n["guid"]) == i + 1)))
     first = lambda n: F.get(F.filter("steps", lambda x: (x["a"] == n["guid"]) & (x["g"] >= n["g"])), F.lit(0))["b"]
-    rows = _made_once(rows, walk=F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["guid"], F.struct(n["kind"].alias("kind"), n["label"].alias("label"), first(n).alias("next"))))))
+    rows = made_once(rows, walk=F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["guid"], F.struct(n["kind"].alias("kind"), n["label"].alias("label"), first(n).alias("next"))))))
 
     def chain(start: Column) -> Column:
         state = F.struct(start.alias("at"), F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("seen"))
@@ -121,9 +117,9 @@ def structural_facts(raw: DataFrame, column: str = "json", depth: int = 16) -> D
         "calls": names("name", *CALLS), "call_owners": names("owner", *CALLS), "gets_variables": names("variable", "K2Node_VariableGet"), "sets_variables": names("variable", "K2Node_VariableSet"),
         "casts_to": names("cast", "K2Node_DynamicCast"), "macros": names("macro", "K2Node_MacroInstance"),
     }
-    rows = _made_once(rows, **lists)
+    rows = made_once(rows, **lists)
     starts = F.filter(F.transform(F.filter("nodes", lambda n: n["kind"].isin(*EVENTS)), lambda n: F.struct(F.coalesce(n["name"], n["custom"], F.lit("")).alias("event"), chain(n["guid"]).alias("chain"))), lambda s: ~s["event"].isin("", "None") & (s["chain"] != ""))
-    rows = _made_once(rows, starts=starts)
+    rows = made_once(rows, starts=starts)
     events = F.transform("starts", lambda s: s["event"])
     rows = rows.withColumn("exec_chains", F.array_sort(F.filter("starts", lambda s, i: F.array_position(events, s["event"]) == i + 1)))
     variables = F.filter(F.coalesce(F.col("doc.variables"), F.array().cast(GRAPH_DOCUMENT["variables"].dataType)), lambda v: _text(v["var_name"]) != "")

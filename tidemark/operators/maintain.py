@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import WHITE, flag, specificity
+from tidemark.operators.common import made_once
 
 TIER_TOKENS = {"full": 100, "gist": 25, "micro": 8}
 TIER_ITEMS = {"full": (8, "\n"), "gist": (3, " "), "micro": (1, " ")}
@@ -42,39 +43,47 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _pick(scores: list[float], bags: list[set[str]], most: int) -> list[int]:
-    """Positions of a maximal-marginal-relevance choice, in order of position; ties go to the better score, then the earlier one."""
+    """Positions in the order of a maximal-marginal-relevance choice; ties go to the better score, then the earlier one.
+
+    What a segment is worth never exceeds its score, so a step ends at the first score that is no better than the best
+    found, and a segment is compared only with those chosen since it was last looked at.
+    """
     left = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
-    near, chosen = dict.fromkeys(left, 0.0), []
+    near, seen, chosen = [0.0] * len(scores), [0] * len(scores), []
     while left and len(chosen) < most:
-        best = max(left, key=lambda i: scores[i] * (1 - near[i])) if chosen else left[0]
+        best, worth = left[0], -1.0
+        for i in left:
+            if scores[i] <= worth:
+                break
+            for j in chosen[seen[i] :]:
+                both = len(bags[i] & bags[j])
+                near[i] = max(near[i], both / (len(bags[i]) + len(bags[j]) - both) if both else 0.0)
+            seen[i] = len(chosen)
+            if (own := scores[i] * (1 - near[i])) > worth:
+                best, worth = i, own
         left.remove(best)
         chosen.append(best)
-        for i in left:
-            both = len(bags[i] & bags[best])
-            near[i] = max(near[i], both / (len(bags[i]) + len(bags[best]) - both) if both else 0.0)
-    return sorted(chosen)
+    return chosen
 
 
 def summarize(frames: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
     """``(frame_id, full, gist, micro)``: extractive summaries of three sizes, none for texts without words."""
     budgets = budgets or TIER_TOKENS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, parts, scores, tokens in zip(pdf["frame_id"], pdf["parts"], pdf["scores"], pdf["tokens"], strict=True):
-                bags, row = [set(t) for t in tokens], [key]
-                for tier, (most, glue) in TIER_ITEMS.items():
-                    text = glue.join(parts[i] for i in _pick(list(scores), bags, most))
-                    words = re.findall(r"\S+\s*", text)
-                    row.append("".join(words[: budgets[tier]]).rstrip())
-                out.append(row)
-            yield pd.DataFrame(out, columns=["frame_id", *TIER_ITEMS])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = {tier: [] for tier in TIER_ITEMS}
+            for parts, scores, tokens in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                order = _pick(scores, [set(x) for x in tokens], max(most for most, _ in TIER_ITEMS.values()))
+                for tier, (most, glue) in TIER_ITEMS.items():  # a smaller choice is the beginning of a larger one
+                    words = re.findall(r"\S+\s*", glue.join(parts[i] for i in sorted(order[:most])))
+                    made[tier].append("".join(words[: budgets[tier]]).rstrip())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.string()) for x in made.values()]], names=["frame_id", *made])
 
     flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, " "))
-    rows = frames.select("frame_id", segments(flat).alias("parts")).filter(F.size("parts") > 0)
-    rows = rows.select("frame_id", "parts", F.transform("parts", segment_score).alias("scores"), F.transform("parts", scoring_tokens).alias("tokens"))
-    return rows.mapInPandas(run, "frame_id long, full string, gist string, micro string")
+    rows = made_once(frames.select("frame_id", flat.alias("flat")), parts=segments(F.col("flat"))).filter(F.size("parts") > 0)
+    rows = rows.select("frame_id", "parts", F.transform("parts", segment_score).alias("scores"), F.transform("parts", lambda s: F.array_distinct(scoring_tokens(s))).alias("tokens"))
+    return rows.mapInArrow(run, "frame_id long, full string, gist string, micro string")
 
 
 def summary_candidates(frames: DataFrame, existing: DataFrame | None = None, overwrite: bool = False, limit: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
+from tidemark.operators.answers import analysed
+from tidemark.operators.common import made_once
 
 
 def _n(cond: Column, amount: float | Column) -> Column:
@@ -16,18 +18,24 @@ def _share(hits: Column, of: Column) -> Column:
     return F.size(hits) / F.greatest(F.size(of), F.lit(1))
 
 
-def composite(q: str = "query", preview: str = "preview", score: str = "score", sources: str = "sources") -> Column:
-    """The reranking score of a row; fixed weights of the composite stand here together."""
-    terms, p_terms = F.array_distinct(t.normalized_terms(F.col(q))), F.array_distinct(t.normalized_terms(F.col(preview)))
-    entities, p_entities = t.entity_terms(F.col(q)), t.entity_terms(F.col(preview))
+def _asked(query: Column) -> dict[str, Column]:
+    return {"_intent": t.intent(query), **analysed(query, "_q_")}
+
+
+def _previewed(preview: Column) -> dict[str, Column]:
+    return {"_low": t.ascii_lower(preview), **analysed(preview, "_p_")}
+
+
+def composite(preview: str = "preview", score: str = "score", sources: str = "sources") -> Column:
+    """The reranking score of a row that has the columns of ``_asked`` and ``_previewed``; fixed weights stand here together."""
+    terms, p_terms, entities, p_entities = (F.col(c) for c in ("_q_terms", "_p_terms", "_q_entities", "_p_entities"))
     letters = lambda a: F.filter(a, lambda w: w.rlike("^[A-Za-z]+$"))
     numeric, alpha, p_alpha = F.filter(entities, lambda w: w.rlike("[0-9]")), letters(entities), letters(p_entities)
     digits = F.filter(terms, lambda w: w.rlike("^[0-9]+$"))
-    years, p_years = t.year_terms(F.col(q)), t.year_terms(F.col(preview))
-    dates, p_dates = t.date_keys(F.col(q)), t.date_keys(F.col(preview))
+    years, p_years, dates, p_dates = (F.col(c) for c in ("_q_years", "_p_years", "_q_dates", "_p_dates"))
     both, none = F.array_intersect, lambda a, b: F.size(F.array_intersect(a, b)) == 0
-    low, has = t.ascii_lower(F.col(preview)), lambda *w: t.contains_any(t.ascii_lower(F.col(preview)), w)
-    asks = lambda bit: t.intent(F.col(q)).bitwiseAND(F.lit(bit)) != 0
+    low, has = F.col("_low"), lambda *w: t.contains_any(F.col("_low"), w)
+    asks = lambda bit: F.col("_intent").bitwiseAND(F.lit(bit)) != 0
     vector = F.array_contains(F.col(sources), "vector")
     tentative = t.is_tentative(low)
     named, overlap = F.size(entities) > 0, both(terms, p_terms)
@@ -49,7 +57,7 @@ def composite(q: str = "query", preview: str = "preview", score: str = "score",
     place = F.when(t.moved_to_place(F.col(preview)), 1.60).when(has("moved to", "move to"), 0.45).when(has("city"), 0.10).otherwise(0.0)
     place -= _n(has("without a destination", "city move", "retrospective"), 0.75) + _n(has("allergic", "health", "peanut"), 1.10) + _n(has("prefer"), 0.55)
     total += _n(asks(t.LOCATION), place)
-    launch = F.when(has("public launch is") & ~tentative, 1.70).when(has("public launch") | (F.size(t.date_literals(F.col(preview))) > 0), 1.20).otherwise(0.0)
+    launch = F.when(has("public launch is") & ~tentative, 1.70).when(has("public launch") | t.has_date_literal(F.col(preview)), 1.20).otherwise(0.0)
     launch -= _n(tentative, F.greatest(F.when(vector, 2.90).otherwise(2.45), F.col(score) * F.when(vector, 1.60).otherwise(1.40)))
     launch -= _n(has("draft memo"), F.when(vector, 1.45).otherwise(1.20)) + _n(has(" owns ", "owner", "deployment readiness"), 0.40)
     total += _n(asks(t.DATE), launch)
@@ -69,9 +77,12 @@ def intent_rerank(rows: DataFrame, queries: DataFrame, window: int = 12, digits:
 
     The first ``window`` rows of a query change places among themselves, the others keep theirs; scores stay.
     """
-    joined = rows.join(queries.select("query_id", "query"), "query_id")
+    asked = made_once(queries.select("query_id", "query"), **_asked(F.col("query"))).withColumn("_reranked", is_reranked(F.col("query"))).drop("query")
+    joined = rows.join(asked, "query_id")
     size = F.least(F.lit(max(0, window)), F.count("*").over(Window.partitionBy("query_id")))
-    head = (F.col("rank") <= size) & (size > 1) & is_reranked(F.col("query"))
-    scored = joined.withColumn("head", head).withColumn("composite", F.when(F.col("head"), F.round(composite(), digits)))
+    placed = joined.withColumn("head", (F.col("rank") <= size) & (size > 1) & F.col("_reranked"))
+    # texts of rows that keep their place are not looked at
+    seen = made_once(placed.withColumn("_text", F.when(F.col("head"), F.coalesce("preview", F.lit(""))).otherwise("")), **_previewed(F.col("_text")))
+    scored = seen.withColumn("composite", F.when(F.col("head"), F.round(composite(), digits)))
     order = Window.partitionBy("query_id", "head").orderBy(F.desc("composite"), F.desc("score"), F.asc("frame_id"))
     return scored.withColumn("rank", F.when(F.col("head"), F.row_number().over(order)).otherwise(F.col("rank"))).select("query_id", "rank", "frame_id", "score", "preview", "sources", "composite")

@@ -232,15 +232,21 @@ def line_windows(spark, d):
 _BODIES = ["// class Not\nclass Foo{0} : public Bar {{\n}};\n", "struct S{0} {{ int a; }};\n", "if (a) {{\n  return b();\n}}\nvoid Run{0}(int a) {{\n}}\n", "int x = {0};\n", "namespace N{0} {{\n}}\n"]
 
 
-@query(f"""WITH f AS (SELECT doc_id, 's/' || doc_id || '.cpp' AS relative_path, CASE doc_id % 5 """ + " ".join(f"WHEN {n} THEN replace({quoted([b.replace('{{', '{').replace('}}', '}').replace('{0}', '@')])}, '@', doc_id::VARCHAR)" for n, b in enumerate(_BODIES)) + f""" END AS text,
+SYMBOLS = (f"""WITH f AS (SELECT doc_id, 's/' || doc_id || '.cpp' AS relative_path, CASE doc_id % 5 """ + " ".join(f"WHEN {n} THEN replace({quoted([b.replace('{{', '{').replace('}}', '}').replace('{0}', '@')])}, '@', doc_id::VARCHAR)" for n, b in enumerate(_BODIES)) + f""" END AS text,
   CASE doc_id % 5 WHEN 0 THEN 'Foo' || doc_id WHEN 1 THEN 'S' || doc_id WHEN 2 THEN 'Run' || doc_id WHEN 4 THEN 'N' || doc_id ELSE '' END AS symbol FROM documents),
 g AS (SELECT *, rtrim(text, chr(10)) AS body, len(string_split(rtrim(text, chr(10)), chr(10))) AS n FROM f), h AS (SELECT *, {sql_fnv('body')} AS hash FROM g),
 k AS (SELECT *, relative_path || chr(10) || symbol || chr(10) || '1:' || n || chr(10) || hash AS id FROM h) SELECT relative_path, symbol, {sql_fnv('id')} AS chunk_id FROM k""")
+
+
+def symbol_files(spark, d) -> DataFrame:
+    """``(relative_path, text)``: small source files, with a symbol or without."""
+    made = F.element_at(F.array(*[_glue(*[x for part in b.replace("{{", "{").replace("}}", "}").split("{0}") for x in (part, "@doc_id")][:-1]) for b in _BODIES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return T.read(spark, d, "documents").select(_glue("s/", "@doc_id", ".cpp").alias("relative_path"), made.alias("text"))
+
+
+@query(SYMBOLS)
 def symbols(spark, d):
-    i = F.col("doc_id")
-    made = F.element_at(F.array(*[_glue(*[x for part in b.replace("{{", "{").replace("}}", "}").split("{0}") for x in (part, "@doc_id")][:-1]) for b in _BODIES]), (i % 5 + 1).cast("int"))
-    files = T.read(spark, d, "documents").select(_glue("s/", "@doc_id", ".cpp").alias("relative_path"), made.alias("text"))
-    return chunks.chunk_lines(files, 400, 40).select("relative_path", "symbol", "chunk_id")
+    return chunks.chunk_lines(symbol_files(spark, d), 400, 40).select("relative_path", "symbol", "chunk_id")
 
 
 @query("SELECT count(*) AS batches, sum(event_id % 7)::BIGINT AS files, sum(event_id % 3)::BIGINT AS unchanged, sum(event_id % 11)::BIGINT AS chunks, sum(event_id % 2)::BIGINT AS facts, round(sum(value), 3) AS seconds, round(sum(event_id % 11) / sum(value), 6) AS chunks_per_second FROM events")

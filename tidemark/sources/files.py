@@ -19,7 +19,7 @@ def _wanted(path: Column, extensions: tuple[str, ...], excluded: tuple[str, ...]
 
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """``(relative_path, size_bytes)`` by lower-case path, then path; contents are not read."""
+    """``(relative_path, size_bytes)`` by lower-case path, then path; contents are not read; empty files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,19 @@ CHUNKS = "relative_path string, symbol string, line_start int, line_end int, tok
 STATUS = "batch long, files long, unchanged long, chunks long, facts long, seconds double"
 
 
+def checked_name(name: str) -> str:
+    """A name for checkpoints: letters, digits, ``_`` and ``-`` only; it may be empty."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]*", name):
+        raise ValueError(f"{name!r} is no name of letters, digits, _ and -")
+    return name
+
+
+def checked_range(name: str, value: int, low: int, high: int) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
+        raise ValueError(f"{name} must be a whole number from {low} to {high}")
+    return value
+
+
 def _latest(log: DataFrame, key: str = "relative_path") -> DataFrame:
     return log.groupBy(key).agg(F.max("batch").alias("batch"))
 
@@ -72,14 +86,19 @@ def indexed(store: S.FrameStore, table: str = "chunks", schema: str = CHUNKS, pa
     return store.read_or_empty(table, schema).join(latest, [path, "batch"], "left_semi")
 
 
-def ingest_stream(files: DataFrame, store: S.FrameStore, enrich: Callable[[DataFrame], DataFrame] | None = None, checkpoint: str | None = None, interval: str | None = None):
+def ingest_stream(files: DataFrame, store: S.FrameStore, enrich: Callable[[DataFrame], DataFrame] | None = None, checkpoint: str | None = None, interval: str | None = None, namespace: str = "", target: int = 400, overlap: int = 40):
     """Starts the index job over a stream of ``(relative_path, text)``.
 
     Every micro-batch leaves out files whose digest is the known one, chunks and enriches the rest, and appends its rows
     to ``files``, ``chunks``, ``facts`` and ``index_status``, each with the batch's number, as one generation; what the
     store held is not written again, and other tables in it are left alone.  A batch that is given again after a failure
-    appends nothing.  ``indexed`` shows what counts now; ``checkpoint`` resumes the job, ``query.stop()`` cancels it.
+    appends nothing.  ``indexed`` shows what counts now; ``checkpoint`` (and ``namespace`` below it) resumes the job,
+    ``query.stop()`` cancels it.
     """
+    checked_range("target", target, 1, 1_000_000)
+    checked_range("overlap", overlap, 0, target)
+    if checkpoint and checked_name(namespace):
+        checkpoint = f"{checkpoint}/{namespace}"
 
     def step(batch: DataFrame, number: int) -> None:
         began = time.monotonic()
@@ -89,7 +108,7 @@ def ingest_stream(files: DataFrame, store: S.FrameStore, enrich: Callable[[DataF
         own = batch.dropDuplicates(["relative_path"])
         digests = C.file_digests(own)
         fresh = C.changed(digests, indexed_files(store).drop("batch"))
-        rows = C.chunk_lines(own.join(fresh.select("relative_path"), "relative_path", "left_semi")).withColumn("batch", F.lit(number).cast("bigint"))
+        rows = C.chunk_lines(own.join(fresh.select("relative_path"), "relative_path", "left_semi"), target, overlap).withColumn("batch", F.lit(number).cast("bigint"))
         store.stage({}, {"files": fresh.withColumn("batch", F.lit(number).cast("bigint")), "chunks": rows})
         held = lambda table: store.read(table, staged=True).filter(F.col("batch") == number)
         facts = 0
