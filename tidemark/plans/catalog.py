@@ -419,20 +419,6 @@ def _recalled(spark, d) -> tuple[DataFrame, DataFrame]:
     return items, asked.dropDuplicates(["query_id"])
 
 
-@query()
-def answer_extract(spark, d):
-    items, asked = _recalled(spark, d)
-    return answers.extract_answers(items, asked)
-
-
-@query()
-def intent_rerank(spark, d):
-    items, asked = _recalled(spark, d)
-    rows = items.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("position")).alias("rank"), F.col("position").alias("frame_id"), "score", F.col("text").alias("preview"), F.array(F.lit("text")).alias("sources"))
-    places = asked.withColumn("query", F.concat("query", F.lit(" where did person18 move and when is the launch of atlas10")))
-    return rerank.intent_rerank(rows, places).select("query_id", "rank", "frame_id", "composite")
-
-
 # ---- facts
 
 LOG = "log AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS op, 'user:' || user_id AS entity, 'k' || (event_id % 3) AS attribute, props AS value, event_id AS id, floor(epoch(ts))::BIGINT * 1000 AS ts_ms FROM events)"
@@ -663,11 +649,6 @@ def kind_distribution(spark, d):
     return graph.kind_distribution(graph.structural_facts(T.graph_documents(spark, d)))
 
 
-@query()
-def graph_compress(spark, d):
-    return graph.compress(T.graph_documents(spark, d)).drop("compressed")
-
-
 @query()
 def graph_chunks(spark, d):
     return graph.chunk(graph.compress(T.graph_documents(spark, d)), 60).drop("text")

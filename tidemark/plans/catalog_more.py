@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.functions import text as t
-from tidemark.operators import answers, chunks, context, enrich, evaluate, facts, maintain, rerank, store, vector_search
+from tidemark.operators import answers, chunks, context, enrich, evaluate, facts, graph, maintain, rerank, store, vector_search
 from tidemark.plans import tables as T
 from tidemark.plans.catalog import EAV, FRAMES, lower, query, quoted, sql_any, sql_entities, sql_stem, sql_words
 from tidemark.streaming import streams
@@ -181,16 +181,28 @@ _CONVERSED = """first AS (SELECT conv_id, min(turn) AS turn FROM conversations W
 items AS (SELECT conv_id AS query_id, turn AS position, text FROM conversations c ANTI JOIN first USING (conv_id, turn))"""
 
 
-@query(f"""WITH {_CONVERSED}, c AS (SELECT query_id, query, position, trim(regexp_replace(translate(text, '[]', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM items JOIN asked USING (query_id)),
+_SENTENCES = f"""c AS (SELECT query_id, query, position, trim(regexp_replace(translate(text, '[]', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM items JOIN asked USING (query_id)),
 s AS (SELECT query_id, query, position, unnest(list_transform(regexp_split_to_array(text, '[.!?\\n]'), lambda s: trim(s, E' \\t\\r\\f\\x0B'))) AS sentence, generate_subscripts(regexp_split_to_array(text, '[.!?\\n]'), 1) AS n FROM c WHERE text <> ''),
-w AS (SELECT *, list_transform(list_filter({sql_words(lower('sentence'))}, lambda w: w NOT IN ({quoted(t.TERM_STOP_WORDS)})), lambda w: {sql_stem('w')}) AS own, {sql_terms('query')} AS terms FROM s WHERE sentence <> '')
-SELECT query_id, sentence FROM w WHERE len(own) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(terms, list_distinct(own))) / len(own) + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.15 ELSE 0 END, 9) DESC, octet_length(encode(sentence)), position, n) = 1""")
+w AS (SELECT *, list_transform(list_filter({sql_words(lower('sentence'))}, lambda w: w NOT IN ({quoted(t.TERM_STOP_WORDS)})), lambda w: {sql_stem('w')}) AS own, {sql_terms('query')} AS terms FROM s WHERE sentence <> '')"""
+_BEST_SENTENCE = """SELECT query_id, sentence FROM w WHERE len(own) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(terms, list_distinct(own))) / len(own) + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.15 ELSE 0 END, 9) DESC, octet_length(encode(sentence)), position, n) = 1"""
+
+
+@query(f"WITH {_CONVERSED}, {_SENTENCES} {_BEST_SENTENCE}")
 def lexical_sentence(spark, d):
     from tidemark.plans.catalog import _recalled
 
     return answers.best_sentences(*_recalled(spark, d))
 
 
+@query(f"""WITH {_CONVERSED}, {_SENTENCES}, best AS ({_BEST_SENTENCE}), start AS (SELECT query_id, arg_min(text, position) AS first FROM c WHERE text <> '' GROUP BY query_id)
+SELECT query_id, coalesce(CASE WHEN len({sql_terms('query')}) > 0 THEN sentence END, first) AS answer FROM asked JOIN start USING (query_id) LEFT JOIN best USING (query_id)""")
+def answer_extract(spark, d):
+    from tidemark.plans.catalog import _recalled
+
+    items, asked = _recalled(spark, d)
+    return answers.extract_answers(items, asked)
+
+
 @query(f"""WITH {_CONVERSED}, n AS (SELECT query_id, position, text, len(regexp_extract_all(text, '[!-/:-@\\[-`{{-~]|[^\\s!-/:-@\\[-`{{-~]+')) AS cost FROM items WHERE position <= 10),
 f AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY position) AS used FROM n), b AS (SELECT query_id, string_agg('[' || position || '] ' || text, chr(10) ORDER BY position) AS blocks FROM f WHERE used <= 4000 GROUP BY query_id),
 p AS (SELECT query_id, 'Answer from the numbered context only and cite it by number.' || chr(10) || chr(10) || coalesce(blocks, '') || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM asked LEFT JOIN b USING (query_id))
@@ -201,6 +213,67 @@ def answer_prompts(spark, d):
     return context.answer_prompt(*_recalled(spark, d)).select("query_id", F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"), F.sha2("prompt", 256).alias("digest"))
 
 
+def _sql_named(name: str, source: str, text: str) -> str:
+    """``name(query_id, position, terms, ents, years, low)`` of a table of texts."""
+    inner = sql_entities(f"{name}_t", "key").replace("terms AS", f"{name}_w AS").replace("FROM terms", f"FROM {name}_w").replace("entities AS", f"{name}_e AS")
+    return f"""{name}_t AS (SELECT query_id || '/' || position AS key, query_id, position, {text} AS text FROM {source}), {inner}, {name}_l AS (SELECT key, list(w) AS ents FROM {name}_e GROUP BY key),
+{name} AS (SELECT query_id, position, text, {sql_terms('text')} AS terms, coalesce(ents, []) AS ents, {sql_years('text')} AS years, {lower('text')} AS low FROM {name}_t LEFT JOIN {name}_l USING (key))"""
+
+
+def _when(cond: str, amount: str) -> str:
+    return f"(CASE WHEN {cond} THEN {amount} ELSE 0 END)"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / greatest(len({a}), 1)"
+
+
+_LOW = lambda *w: sql_any("i.low", w)
+_TENTATIVE = sql_any("i.low", t.TENTATIVE)
+_COMPOSITE = " + ".join([
+    "i.score", _when("len(q.terms) > 0 AND len(i.terms) > 0", f"0.55 * {_ratio('q.terms', 'i.terms')} + 0.25 * {_ratio('i.terms', 'q.terms')}"),
+    _when("len(q.numeric) > 0", f"1.95 * {_ratio('q.numeric', 'i.ents')}"), _when("len(q.alpha) > 0", f"1.25 * {_ratio('q.alpha', 'i.alpha')}"), _when("len(q.ents) > 0", f"0.3 * {_ratio('q.ents', 'i.ents')}"),
+    _when("len(q.ents) > 0 AND len(list_intersect(q.ents, i.ents)) = 0", f"-(CASE WHEN len(q.numeric) > 0 THEN 0.85 ELSE 0.45 END) - {_when('len(list_intersect(q.digits, i.terms)) > 0', '0.75')}"),
+    _when("len(q.alpha) > 0 AND len(i.alpha) > 0 AND len(list_intersect(q.alpha, i.alpha)) = 0", "-0.4"), _when("len(q.years) > 0", f"1.25 * {_ratio('q.years', 'i.years')}"),
+    _when("len(q.years) > 0 AND len(i.years) > 0 AND len(list_intersect(q.years, i.years)) = 0", "-1.1"),
+    f"(CASE WHEN regexp_matches(i.text, '(moved|move) to [A-Z][a-z]+') THEN 1.6 WHEN {_LOW('moved to', 'move to')} THEN 0.45 WHEN {_LOW('city')} THEN 0.1 ELSE 0 END)",
+    _when(_LOW("without a destination", "city move", "retrospective"), "-0.75"), _when(_LOW("allergic", "health", "peanut"), "-1.1"), _when(_LOW("prefer"), "-0.55"),
+    f"(CASE WHEN {_LOW('public launch is')} AND NOT {_TENTATIVE} THEN 1.7 WHEN {_LOW('public launch')} THEN 1.2 ELSE 0 END)", _when(_TENTATIVE, "-greatest(2.45, i.score * 1.4)"),
+    _when(_LOW("draft memo"), "-1.2"), _when(_LOW(" owns ", "owner", "deployment readiness"), "-0.4"),
+    _when(sql_any("q.low", ("who", "owner", "owns", "deployment readiness")), f"{_when(_LOW(' owns ', 'owner', 'owns deployment readiness'), '1.1')} - {_when(_LOW('public launch') + ' AND NOT ' + _LOW(' owns '), '0.35')}"),
+    _when(sql_any("i.low", t.DISTRACTORS), "-0.4"),
+])
+_ASKS_MORE = " where did person18 move and when is the launch of atlas10"
+
+
+@query(f"""WITH {_CONVERSED}, {_sql_named('qs', '(SELECT query_id, 0 AS position, query FROM asked)', f"query || '{_ASKS_MORE}'")}, {_sql_named('xs', 'items', 'text')},
+q AS (SELECT *, list_filter(ents, lambda w: regexp_matches(w, '[0-9]')) AS numeric, list_filter(ents, lambda w: regexp_full_match(w, '[A-Za-z]+')) AS alpha, list_filter(terms, lambda w: regexp_full_match(w, '[0-9]+')) AS digits FROM qs),
+i AS (SELECT *, list_filter(ents, lambda w: regexp_full_match(w, '[A-Za-z]+')) AS alpha, 1 / (1 + position) AS score, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM xs),
+c AS (SELECT i.query_id, i.position AS frame_id, i.score, place, CASE WHEN place <= 12 AND n > 1 THEN round(CASE WHEN i.text = '' THEN i.score ELSE {_COMPOSITE} END, 6)::DOUBLE END AS composite FROM i JOIN q USING (query_id))
+SELECT query_id, frame_id, composite, CASE WHEN composite IS NULL THEN place ELSE row_number() OVER (PARTITION BY query_id, composite IS NULL ORDER BY composite DESC, score DESC, frame_id) END AS rank FROM c""")
+def intent_rerank(spark, d):
+    from tidemark.plans.catalog import _recalled
+
+    items, asked = _recalled(spark, d)
+    rows = items.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("position")).alias("rank"), F.col("position").alias("frame_id"), "score", F.col("text").alias("preview"), F.array(F.lit("text")).alias("sources"))
+    places = asked.withColumn("query", F.concat("query", F.lit(_ASKS_MORE)))
+    return rerank.intent_rerank(rows, places).select("query_id", F.col("rank").cast("bigint").alias("rank"), "frame_id", "composite")
+
+
+_STEPS = r"[^\s{}\[\],:\"][\s{}\[\],:\"]"
+
+
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+j AS (SELECT l_orderkey AS doc_id, '{{"asset_name":"' || CASE l_orderkey % 3 WHEN 0 THEN 'GA_' WHEN 1 THEN 'W_' ELSE 'BP_' END || l_orderkey || '","asset_path":"/Game/Orders","graphs":[{{"name":"EventGraph","nodes":[' AS head,
+  string_agg(',{{"node_guid":"' || n || '","class_path":"/Script/BlueprintGraph.K2Node_CallFunction","title":"call","function":{{"member_name":"Part' || l_partkey || '","member_parent":"/Script/Game.Supplier' || l_suppkey || '"}}}}', '' ORDER BY n) AS calls,
+  string_agg('{{"from_node_guid":"' || n - 1 || '","from_pin_name":"then","to_node_guid":"' || n || '","to_pin_name":"execute"}}', ',' ORDER BY n) AS links,
+  string_agg(',{{"title":"call","class":"K2Node_CallFunction","calls":"Part' || l_partkey || '","from":"Supplier' || l_suppkey || '"}}', '' ORDER BY n) AS short FROM l GROUP BY l_orderkey),
+t AS (SELECT doc_id, head || '{{"node_guid":"0","class_path":"/Script/BlueprintGraph.K2Node_Event","title":"start","event_ref":{{"member_name":"Begin","member_parent":"/Script/Engine.Actor"}}}}' || calls || '],"links":[' || links || ']}}]}}' AS raw, head || '{{"title":"start","class":"K2Node_Event","event":"Begin"}}' || short || ']}}]}}' AS compressed FROM j)
+SELECT doc_id, len(regexp_extract_all(raw, '{_STEPS}')) + 1 AS tokens_before, len(regexp_extract_all(compressed, '{_STEPS}')) + 1 AS tokens_after, sha256(compressed) AS digest FROM t""")
+def graph_compress(spark, d):
+    return graph.compress(T.graph_documents(spark, d)).select("doc_id", "tokens_before", "tokens_after", F.sha2("compressed", 256).alias("digest"))
+
+
 @query("WITH c AS (SELECT item_id, item_id % 3 <> 0 AS cited, item_id % 3 = 1 AS whole FROM benchmark) SELECT count(*) AS queries, round(avg(cited::INT), 6) AS influence_rate, round(avg(whole::INT), 6) AS required_path_rate FROM c")
 def citation_rates(spark, d):
     i = F.col("item_id")
