@@ -26,6 +26,7 @@ PAGES = [
     ("<article><p>a</p><![CDATA[ b ]]><p>c</p><!-->d<!---><p>e</p><!bogus><?php x ?></article>", "a c d e"),
     ("<article><h1>T</h1><p>First words of the text.</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul></article>", "T First words of the text."),
     ("<div class=post-footer>x</div><div class=site-header>y</div><article class='post content'><p>Text</p><div class='comments-area'>Nice one</div></article><div id=cookie_banner>We use cookies</div>", "Text"),
+    ("<article><p>Text</p><div class=shareButtons><a href=1>Post it</a></div><div id=sideBar><p>Some more</p></div><div class='new-comments-count'>3</div><div class=adoption-story><p>Kept</p></div></article>", "Text Kept"),
     ("<p>unclosed <b>bold <i>both", "unclosed bold both"), ("a < b and c > d", "a < b and c > d"),
 ]
 

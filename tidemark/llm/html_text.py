@@ -39,7 +39,10 @@ PLAIN = frozenset(
 )
 VAGUE = frozenset("header widget toolbar share sharing social related recommended recommendations subscribe subscription signup signin login search toc skip alert overlay disclaimer promoted reviews tags".split())
 #: Words that only say where a box is or of what kind: a name counts if one part of it does and all others are such.
-NEUTRAL = frozenset("a the box bar left right top bottom main primary secondary site page list area wrapper wrap container section block inner outer item items link links post posts entry article story global local mobile desktop user reader main-site form slot unit text policy panel column col row header body content head title sticky fixed floating side".split())
+NEUTRAL = frozenset(
+    "a the box bar left right top bottom main primary secondary site page list area wrapper wrap container section block inner outer item items link links post posts entry article story global local mobile desktop user reader form slot unit text policy panel column col row header body content head title sticky fixed floating side "
+    "button buttons icon icons count counter label widgets tabs tab media news articles stories topics thread threads google fb inline native large small medium collapse toggle dropdown expanded default fluid new more".split()
+)
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 
 _S = r"[ \t\n\f\r]"
@@ -48,6 +51,7 @@ _ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>=]++)(?:{_S}*+={_S}*+(?:\"([^\"]*+)\"|'
 _NAMED = re.compile(r"class|id|role|hidden|style", re.I)
 _COMMENT_END = re.compile(r"--!?>")
 _NAME_PART = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>])", re.I) for name in RAW}
 
 
@@ -68,6 +72,8 @@ class Block:
 def _named(token: str) -> int:
     """How plainly a class, id or role name says that a box holds no article text."""
     parts = _NAME_PART.findall(token)
+    if len(parts) > 1 and "".join(parts) in PLAIN:
+        return 2
     plain = vague = False
     for p in parts:
         if p in PLAIN:
@@ -92,7 +98,8 @@ def _place(name: str, attrs: str) -> tuple[bool, int, int]:
     unseen, hint, container = name in UNSEEN, 2 * (name in FURNITURE), 2 * (name == "article") or int(name == "main")
     if attrs and _NAMED.search(attrs):
         for key, *values in _ATTRIBUTE.findall(attrs):
-            key, value = key.lower(), "".join(values).lower()
+            key, value = key.lower(), "".join(values)
+            value = (_HUMP.sub("-", value) if key in ("class", "id") else value).lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 unseen = True
             elif key in ("class", "id", "role") and name not in ("html", "body"):
