@@ -21,14 +21,20 @@ import pyarrow.compute as pc
 import tiktoken
 
 #: Pieces that the tokenizer only lowers and splits: no apostrophes (contractions), no marks that could compose.
-_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-þ]+")
+_PLAIN = r"[!-&(-~À-ÖØ-öø-þ]+"
 _CORE = re.compile(r"[a-zß-öø-þ]+|[0-9]|[^a-zß-öø-þ0-9]+")
-_LETTERS = re.compile(r"[a-zß-öø-þ]+")
+_LETTERS = r"[a-zß-öø-þ]+"
+_WORD = re.compile(_LETTERS)
 _LOWER = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0xFF) if c != 0xF7)
 #: How a word's last letter is written for the faster library: as a capital; the sign for times stands in for that of ß.
 _LAST = {c: "×" if c == "ß" else c.upper() for c in _LOWER}
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """As Python strings, converted all at once."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Table:
     """Ids by piece, as slices of one growing array."""
 
@@ -135,43 +141,38 @@ class Encoder:
             self.kept.add(fresh, *self._each(fresh))
         return self.kept.gather(self.kept.rows(pieces))
 
-    def _table(self, pieces: list[str]) -> _Table:
-        """The ids of distinct pieces."""
-        table, words, mixed, cores, other = _Table(), [], [], [], []
-        letters, plain, core = _LETTERS.fullmatch, _PLAIN.fullmatch, _CORE.findall
-        for p in pieces:
-            if letters(p):
-                words.append(p)
-            elif plain(p) and "<|" not in p:
-                mixed.append(p)
-                cores.append(core(p.lower()))
-            else:
-                other.append(p)
-        if mixed:
-            have = set(words)
-            for c in dict.fromkeys(chain.from_iterable(cores)):
-                if c not in have:
-                    (words if letters(c) else other).append(c)
+    def _table(self, pieces: pa.Array) -> tuple[_Table, np.ndarray]:
+        """The ids of distinct pieces, and the row of each."""
+        is_word = pc.match_substring_regex(pieces, f"^(?:{_LETTERS})$").to_numpy(zero_copy_only=False)
+        is_plain = pc.match_substring_regex(pieces, f"^(?:{_PLAIN})$").to_numpy(zero_copy_only=False) & ~is_word & ~pc.match_substring(pieces, "<|").to_numpy(zero_copy_only=False)
+        words, plain, other = (_strings(pieces.filter(pa.array(m))) for m in (is_word, is_plain, ~is_word & ~is_plain))
+        cores = [_CORE.findall(p) for p in _strings(pc.utf8_lower(pieces.filter(pa.array(is_plain))))]
+        rows, n_words = np.zeros(len(pieces), np.int64), len(words)
+        rows[is_word] = np.arange(n_words)
+        own_other, table, have = other, _Table(), set(words)
+        other = list(other)
+        for c in dict.fromkeys(chain.from_iterable(cores)):
+            if c not in have:
+                (words if _WORD.fullmatch(c) else other).append(c)
         if words:
             table.add(words, *self._words(words))
         if other:
             other = list(dict.fromkeys(other))
             table.add(other, *self._others(other))
-        if mixed:
-            pairs = [(p, c) for p, c in zip(mixed, cores, strict=True) if p not in table.known]  # a sign is its own core
-            if pairs:
-                ids, length = table.gather(table.rows(list(chain.from_iterable(c for _, c in pairs))))
-                first = np.cumsum([0, *[len(c) for _, c in pairs]])[:-1]
-                table.add([p for p, _ in pairs], ids, np.add.reduceat(length, first))
-        return table
+        pairs = [(p, c) for p, c in zip(plain, cores, strict=True) if p not in table.known]  # a sign is its own core
+        if pairs:
+            ids, length = table.gather(table.rows(list(chain.from_iterable(c for _, c in pairs))))
+            first = np.cumsum([0, *[len(c) for _, c in pairs]])[:-1]
+            table.add([p for p, _ in pairs], ids, np.add.reduceat(length, first))
+        rows[is_plain], rows[~is_word & ~is_plain] = table.rows(plain), table.rows(own_other)
+        return table, rows
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
         cut = pc.split_pattern(pa.array([x.replace("\n", " ").replace("\t", " ").replace("\r", " ") for x in texts], pa.large_string()), " ")
         words = cut.flatten().dictionary_encode()
-        pieces = words.dictionary.to_pylist()
-        table = self._table(pieces)
-        ids, length = table.gather(table.rows(pieces)[words.indices.to_numpy()])
+        table, rows = self._table(words.dictionary)
+        ids, length = table.gather(rows[words.indices.to_numpy()])
         after = np.concatenate([[0], np.cumsum(length)])[cut.offsets.to_numpy()].tolist()
         return [ids[a:b] for a, b in pairwise(after)]
 
