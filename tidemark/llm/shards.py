@@ -128,7 +128,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
     listed = dict(cut.dtypes)["docs"]
     placed = cut.mapInArrow(place, f"slot long, sequence long, shard long, n_tokens long, docs {listed}, starts array<bigint>, ids binary")
-    tasks = max(1, min(-(-total // per_shard), width(spark)))
+    shards = max(1, -(-total // per_shard))
+    tasks = min(shards, width(spark))
 
     def write(batches):
         fs, base = _open_fs(folder)
@@ -170,7 +171,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
                 yield made()
         close()
 
-    ordered = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
+    # the ranges are known, so nothing is sampled; a task writes a run of shards
+    ordered = placed.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("shard", "slot")
     schema = f"slot long, sequence long, shard long, byte_offset long, n_tokens long, crc32 long, docs {listed}, starts array<bigint>"
     return ws.table(ordered.mapInArrow(write, schema), "index", compression="zstd")
 
