@@ -521,10 +521,15 @@ def chunk_whitespace(spark, d):
     return cut.select("frame_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\\r\\n|\\r|\\n)$', ''), '\\r\\n|\\r|\\n') AS lines FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, lines, list_transform(lines, lambda x: greatest(1, len({sql_words('x')}))) AS costs FROM t), sums AS (SELECT doc_id, lines, [0] || list_transform(generate_series(1, len(costs)), lambda i: list_sum(costs[1:i])::BIGINT) AS s, len(costs) AS n FROM c),
+walk AS (SELECT doc_id, s, n, 0 AS start, greatest(1, len(list_filter(s, lambda x: x <= 100)) - 1) AS stop FROM sums
+  UNION ALL SELECT doc_id, s, n, b, greatest(b + 1, len(list_filter(s, lambda x: x <= s[b + 1] + 100)) - 1) FROM (SELECT doc_id, s, n, greatest(len(list_filter(s, lambda x: x < s[stop + 1] - 20)), start + 1) AS b FROM walk WHERE stop < n))
+SELECT 'd/' || doc_id || '.cpp' AS relative_path, (start + 1)::INT AS line_start, stop::INT AS line_end, (w.s[stop + 1] - w.s[start + 1])::INT AS token_estimate, sha256(array_to_string(lines[start + 1 : stop], chr(10))) AS digest
+FROM walk w JOIN sums USING (doc_id) WHERE trim(array_to_string(lines[start + 1 : stop], ''), E' \\t\\r\\n\\f\\x0B') <> ''""")
 def line_chunks(spark, d):
     files = T.read(spark, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".cpp")).alias("relative_path"), "text")
-    return chunks.chunk_lines(files, 100, 20).drop("text")
+    return chunks.chunk_lines(files, 100, 20).select("relative_path", "line_start", "line_end", "token_estimate", F.sha2("text", 256).alias("digest"))
 
 
 @query("SELECT page_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(generate_series(1, octet_length(encode(url))), lambda i: ('0x' || hex(encode(url)[i:i]))::INT::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0') AS digest FROM pages")
@@ -649,7 +654,7 @@ def kind_distribution(spark, d):
     return graph.kind_distribution(graph.structural_facts(T.graph_documents(spark, d)))
 
 
-@query()
+@query("WITH c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT doc_id, 0 AS chunk, CASE WHEN n <= 5 THEN '' ELSE 'EventGraph' END AS graph, CASE WHEN n <= 5 THEN 15 + 8 * n ELSE 58 END AS tokens FROM c UNION ALL SELECT doc_id, 1, 'EventGraph', 6 + 9 * (n - 5) FROM c WHERE n > 5")
 def graph_chunks(spark, d):
     return graph.chunk(graph.compress(T.graph_documents(spark, d)), 60).drop("text")
 
