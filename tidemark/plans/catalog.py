@@ -654,7 +654,7 @@ def kind_distribution(spark, d):
     return graph.kind_distribution(graph.structural_facts(T.graph_documents(spark, d)))
 
 
-@query("WITH c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT doc_id, 0 AS chunk, CASE WHEN n <= 5 THEN '' ELSE 'EventGraph' END AS graph, CASE WHEN n <= 5 THEN 15 + 8 * n ELSE 58 END AS tokens FROM c UNION ALL SELECT doc_id, 1, 'EventGraph', 6 + 9 * (n - 5) FROM c WHERE n > 5")
+@query("WITH c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT doc_id, 0 AS chunk, CASE WHEN n <= 5 THEN '' ELSE 'EventGraph' END AS graph, CASE WHEN n <= 5 THEN 15 + 8 * n ELSE 58 END AS tokens FROM c UNION ALL SELECT doc_id, k::INT, 'EventGraph', 6 + 9 * least(6, n - 5 - 6 * (k - 1)) FROM (SELECT doc_id, n, unnest(generate_series(1, ceil((n - 5) / 6.0)::BIGINT)) AS k FROM c WHERE n > 5)")
 def graph_chunks(spark, d):
     return graph.chunk(graph.compress(T.graph_documents(spark, d)), 60).drop("text")
 
