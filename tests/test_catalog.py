@@ -37,3 +37,12 @@ def test_query(spark, duck, name):
     if name in ORACLE_SQL:
         want = duck.execute(ORACLE_SQL[name])
         assert got == table([c[0] for c in want.description], want.fetchall())
+
+
+def test_cycles_where_events_reach_the_planted_ids(spark, tmp_path):
+    ids = [*range(20), *range(999_980, 1_000_020), *range(1_999_980, 2_000_020)]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["supersede_cycles"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(ORACLE_SQL["supersede_cycles"]).fetchall()) and len(got) == 15
